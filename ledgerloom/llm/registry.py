@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.whitespace import RE2
-from ledgerloom.llm import boilerplate, mixing, splitting, tokens
+from ledgerloom.llm import boilerplate, mixing, nearcopies, splitting, tokens
 from ledgerloom.sources.tables import table
 
 
@@ -19,6 +19,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "split_limits"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks with nearly the same text."""
+    return nearcopies.pairs(nearcopies.near_copies(table(spark, d, "chunks")))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's class of equal shingles and its number of near classes."""
+    return nearcopies.classes(nearcopies.near_copies(table(spark, d, "chunks")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of lines repeated within a symbol."""
     return boilerplate.repeated_lines(table(spark, d, "chunks"))
@@ -50,7 +60,7 @@ def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
     return mixing.tempered_shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p9_tempered)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_classes, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p9_tempered)}
 
 _LINES = f"""
 WITH c AS (SELECT DISTINCT chunk_id, lower(trim(regexp_replace(symbol, '[{RE2}]+', ' ', 'g'))) AS source, text FROM chunks WHERE symbol IS NOT NULL AND text IS NOT NULL AND chunk_id IS NOT NULL),
