@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.whitespace import RE2
-from ledgerloom.llm import boilerplate, mixing, nearcopies, splitting, tokens
+from ledgerloom.llm import boilerplate, mixing, nearcopies, splitting, tokens, truncation, turns
 from ledgerloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where each person's turns start, and who a chunk's speaker names."""
+    return turns.named_people(table(spark, d, "page_blocks"), table(spark, d, "chunks"), table(spark, d, "call_participants"))
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn with its person and clean text."""
+    return turns.clean_turns(table(spark, d, "page_blocks"), table(spark, d, "call_participants"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over their limit."""
     return splitting.oversized(table(spark, d, "chunks"), table(spark, d, "split_limits"))
@@ -60,7 +70,17 @@ def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
     return mixing.tempered_shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_classes, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p9_tempered)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that end before their author's end."""
+    return truncation.truncated(truncation.truncation_scores(table(spark, d, "documents")))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts texts off."""
+    return truncation.truncation_rates(truncation.truncation_scores(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_pieces, p5_found, p5_classes, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p9_tempered, p10_found, p10_rates)}
 
 _LINES = f"""
 WITH c AS (SELECT DISTINCT chunk_id, lower(trim(regexp_replace(symbol, '[{RE2}]+', ' ', 'g'))) AS source, text FROM chunks WHERE symbol IS NOT NULL AND text IS NOT NULL AND chunk_id IS NOT NULL),
