@@ -91,21 +91,27 @@ _SIGNATURE = T.StructType(
 
 
 def signatures(chunks: DataFrame, join: Join) -> DataFrame:
-    """chunk_id, node (hash of its shingle set), size, bitmap and band keys; texts with too few words give none."""
+    """chunk_id, node (hash of its shingle set), size, bitmap and band keys; texts with too few words give none.
+
+    The keys of a node come once per partition, so copies, however many, are not shuffled again and again.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, multipliers = _Words(), _multipliers(join)
+        hashes, multipliers, seen = _Words(), _multipliers(join), set()
         for batch in batches:
-            ids, nodes, sizes, maps, keys = [], [], [], [], []
+            ids, nodes, sizes, maps, keys, counts = [], [], [], [], [], []
             for chunk_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(found := shingles(text, join.words, hashes)):
                     ids.append(chunk_id)
-                    nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                    nodes.append(node := xxhash.xxh64_intdigest(found.tobytes()))
                     sizes.append(len(found))
                     maps.append(bitmap(found, join.bits))
-                    keys.append(band_keys(found, join, multipliers))
+                    counts.append(0 if node in seen else join.bands)
+                    if counts[-1]:
+                        seen.add(node)
+                        keys.append(band_keys(found, join, multipliers))
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            offsets = np.arange(len(keys) + 1, dtype=np.int32) * join.bands
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=[f.name for f in _SIGNATURE],
@@ -169,7 +175,7 @@ def near_copies(chunks: DataFrame, join: Join = Join()) -> NearCopies:
     """
     signed = cut(signatures(chunks, join))
     nodes = signed.groupBy("node").agg(F.min("chunk_id").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
-    posted = signed.select("node", F.explode("keys").alias("key")).distinct()
+    posted = signed.select("node", F.explode("keys").alias("key")).repartition("key").distinct()  # one shuffle serves both
     a, b = posted.select("key", F.col("node").alias("node_a")), posted.select("key", F.col("node").alias("node_b"))
     met = a.join(b, "key").where("node_a < node_b").select("node_a", "node_b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bitmap")))
