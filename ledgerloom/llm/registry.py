@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.whitespace import RE2
-from ledgerloom.llm import boilerplate, mixing, nearcopies, splitting, tokens, truncation, turns
+from ledgerloom.llm import boilerplate, mixing, nearcopies, scans, splitting, tokens, truncation, turns
 from ledgerloom.sources.tables import table
 
 
@@ -29,6 +29,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "split_limits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noise of scanned pages by block and kind."""
+    return scans.noise_found(table(spark, d, "page_blocks"))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Readable paragraphs by document and page."""
+    return scans.paragraphs(table(spark, d, "page_blocks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks with nearly the same text."""
     return nearcopies.pairs(nearcopies.near_copies(table(spark, d, "chunks")))
@@ -80,7 +90,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncation_scores(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_pieces, p5_found, p5_classes, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p9_tempered, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_pieces, p4_found, p4_paragraphs, p5_found, p5_classes, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p9_tempered, p10_found, p10_rates)}
 
 _LINES = f"""
 WITH c AS (SELECT DISTINCT chunk_id, lower(trim(regexp_replace(symbol, '[{RE2}]+', ' ', 'g'))) AS source, text FROM chunks WHERE symbol IS NOT NULL AND text IS NOT NULL AND chunk_id IS NOT NULL),
