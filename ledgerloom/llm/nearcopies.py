@@ -178,10 +178,12 @@ def near_copies(chunks: DataFrame, join: Join = Join()) -> NearCopies:
     posted = signed.select("node", F.explode("keys").alias("key")).repartition("key").distinct()  # one shuffle serves both
     a, b = posted.select("key", F.col("node").alias("node_a")), posted.select("key", F.col("node").alias("node_b"))
     met = a.join(b, "key").where("node_a < node_b").select("node_a", "node_b").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bitmap")))
+    side = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "bitmap")))
     paired = met.join(side("a"), "node_a").join(side("b"), "node_b")
     banded = paired.where(F.least("size_a", "size_b") >= join.threshold * F.greatest("size_a", "size_b") - 1e-9)
-    likely = cut(banded.where(_may_match(join)("size_a", "size_b", "bitmap_a", "bitmap_b")).select("node_a", "node_b", "rep_a", "rep_b"))
+    bounded = banded.where(_may_match(join)("size_a", "size_b", "bitmap_a", "bitmap_b")).select("node_a", "node_b")
+    rep = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), F.col("rep").alias(f"rep_{x}"))
+    likely = cut(bounded.join(rep("a"), "node_a").join(rep("b"), "node_b"))
     wanted = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("chunk_id")).distinct()
     texts = chunks.select("chunk_id", "text").where(F.col("text").isNotNull()).join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     text = lambda x: texts.select(F.col("chunk_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
