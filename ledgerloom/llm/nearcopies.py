@@ -28,6 +28,7 @@ class Join(NamedTuple):
     bands: int = 60
     rows: int = 4
     bits: int = 512
+    filter_bits: int = 1 << 23
     seed: int = 1
 
 
@@ -153,6 +154,27 @@ def _overlap(join: Join):
     return similarity
 
 
+def _only(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """The rows whose chunk_id may be wanted, by a bitmap of hashes; none that is wanted is lost.
+
+    The bitmap has a fixed size (bits / 8 bytes, in rows of 4 KB), whatever is wanted, so it is collected
+    and broadcast; it only spares the later exact join the texts that nobody wants.
+    """
+    place = F.pmod(F.xxhash64("chunk_id"), F.lit(bits))
+    marks = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b")).collect()
+    packed = np.zeros(max(bits // 8, 4096), np.uint8)
+    for m in marks:
+        packed[(m["bucket"] - 1) * 4096 : m["bucket"] * 4096] = np.frombuffer(m["b"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf(T.BooleanType())
+    def marked(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.where(marked(place))
+
+
 class NearCopies(NamedTuple):
     members: DataFrame  # chunk_id, node: every text; texts of one node have the same shingles
     links: DataFrame  # node_a < node_b, similarity: every pair of different shingle sets over the threshold
@@ -185,7 +207,7 @@ def near_copies(chunks: DataFrame, join: Join = Join()) -> NearCopies:
     rep = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), F.col("rep").alias(f"rep_{x}"))
     likely = cut(bounded.join(rep("a"), "node_a").join(rep("b"), "node_b"))
     wanted = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("chunk_id")).distinct()
-    texts = chunks.select("chunk_id", "text").where(F.col("text").isNotNull()).join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    texts = _only(chunks.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()), wanted, join.filter_bits).join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     text = lambda x: texts.select(F.col("chunk_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
     scored = likely.join(text("a"), "rep_a").join(text("b"), "rep_b").select("node_a", "node_b", _overlap(join)("text_a", "text_b").alias("similarity"))
     links = scored.where(F.col("similarity") >= join.threshold - 1e-12)
