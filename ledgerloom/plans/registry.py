@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import problems
+from ledgerloom.plans import finance, problems, warehouse
 
-FLAGSHIP = "p6_report"
-_MODULES = (problems,)
+FLAGSHIP = "fy_revenue_yoy"
+_MODULES = (finance, warehouse, problems)
 
 
 def queries() -> dict:
