@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import finance, problems, textpipe, warehouse
+from ledgerloom.plans import finance, problems, retrieval, textpipe, warehouse
 
 FLAGSHIP = "fy_revenue_yoy"
-_MODULES = (finance, warehouse, textpipe, problems)
+_MODULES = (finance, warehouse, textpipe, retrieval, problems)
 
 
 def queries() -> dict:
