@@ -25,7 +25,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     """A fixed question per kind of figure."""
     u = table(spark, d, "metric_units").select(F.regexp_replace("sub_type", "_", " ").alias("query")).distinct()
-    return u.select(F.crc32(F.encode("query", "utf-8")).alias("query_id"), F.concat("query", F.lit(" growth guidance")).alias("query"))
+    return u.select(F.col("query").alias("query_id"), F.concat("query", F.lit(" growth guidance")).alias("query"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +41,9 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """One question per company with its chunks as candidates; the vector score is a stand-in made of the id."""
-    c = table(spark, d, "chunks").select(F.upper(F.trim("symbol")).alias("sym"), "chunk_id", "text", "doc_type", "speaker_role", "year").dropDuplicates(["chunk_id"]).where("sym is not null")
-    c = c.withColumn("query_id", F.crc32(F.encode("sym", "utf-8"))).withColumn("vector_score", F.round((F.crc32(F.encode("chunk_id", "utf-8")) % 1000) / 1000.0, 3)).withColumnRenamed("chunk_id", "doc_id")
+    """One question per company with its chunks as candidates; the vector score is a stand-in made of index and length."""
+    c = table(spark, d, "chunks").select(F.upper(F.trim("symbol")).alias("sym"), "chunk_id", "text", "doc_type", "speaker_role", "year", "chunk_index", "word_count").dropDuplicates(["chunk_id"]).where("sym is not null")
+    c = c.withColumn("query_id", F.col("sym")).withColumn("vector_score", F.round((F.col("chunk_index") * 37 + F.coalesce("word_count", F.lit(0))) % 1000 / F.lit(1000.0), 3)).withColumnRenamed("chunk_id", "doc_id")
     return c, c.select("query_id").distinct().withColumn("query", F.lit("revenue growth and margin guidance"))
 
 
@@ -229,7 +229,38 @@ _SENT = r"""cc AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks WHER
 _KINDS = ", ".join(f"('{k}', '{'|'.join(w)}', '{h}')" for k, w, h in fu.SIGNALS)
 _NUM = fu.NUMBER.replace("'", "''")
 
+_SCORED = f"""{_CAND.replace("speaker_role, year FROM", "speaker_role, year, chunk_index, word_count FROM")}, sc AS (SELECT sym AS query_id, chunk_id AS doc_id, text, doc_type, speaker_role, year, round((chunk_index * 37 + coalesce(word_count, 0)) % 1000 / 1000.0::DOUBLE, 3) AS score FROM cand)"""
+_PART = "qn * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))"
+_GLOBAL = f"""WITH docs AS (SELECT doc_id, coalesce({_TK.format('text')}, []) AS tk FROM documents), st AS (SELECT count(*) AS n, avg(len(tk)) AS al FROM docs),
+  qs AS (SELECT DISTINCT replace(sub_type, '_', ' ') AS query_id FROM metric_units), q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({_TK.format("query_id || ' growth guidance'")}) AS term FROM qs) GROUP BY ALL),
+  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(tk) AS len, unnest(tk) AS term FROM docs) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  sc AS (SELECT query_id, doc_id, round(sum({_PART}), 6) AS bm25 FROM tf JOIN dfs USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY ALL)"""
+_LOCAL = f"""WITH {_SCORED}, docs AS (SELECT query_id, doc_id, score AS vs, coalesce({_TK.format('text')}, []) AS tk FROM sc), st AS (SELECT query_id, count(*) AS n, avg(len(tk)) AS al FROM docs GROUP BY query_id),
+  q AS (SELECT term, count(*) AS qn FROM (SELECT unnest({_TK.format("'revenue growth and margin guidance'")}) AS term) GROUP BY term),
+  tf AS (SELECT query_id, doc_id, len, term, qn, count(*) AS tf FROM (SELECT query_id, doc_id, len(tk) AS len, unnest(tk) AS term FROM docs) JOIN q USING (term) GROUP BY ALL), dfs AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
+  b AS (SELECT query_id, doc_id, round(sum({_PART}), 6) AS bm25 FROM tf JOIN dfs USING (query_id, term) JOIN st USING (query_id) GROUP BY ALL), c AS (SELECT docs.query_id, docs.doc_id, vs, coalesce(bm25, 0) AS bm25 FROM docs LEFT JOIN b USING (query_id, doc_id)),
+  w AS (SELECT *, min(vs) OVER p AS v0, max(vs) OVER p AS v1, min(bm25) OVER p AS b0, max(bm25) OVER p AS b1 FROM c WINDOW p AS (PARTITION BY query_id))"""
+_INTENT = ", ".join(
+    f"CASE WHEN contains(lower(q), '{name}') OR {' OR '.join(f"contains(lower(q), '{p}')" for p in phrases[:3])} THEN [{', '.join(f"'{p}'" for p in phrases[:4])}] ELSE [] END" for name, phrases in r.INTENTS
+)
+_GOALS = " ".join(f"WHEN metric = '{m}' AND k = {k} THEN {g}" for (m, k), g in ev.GOALS.items())
+
 ORACLE = {
+    "bm25_topk": f"{_GLOBAL} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 10",
+    "hybrid_minmax_fusion": f"{_LOCAL} SELECT query_id, doc_id, bm25, round(((CASE WHEN v1 = v0 THEN 1 ELSE (vs - v0) / (v1 - v0) END) + (CASE WHEN b1 = b0 THEN 1 ELSE (bm25 - b0) / (b1 - b0) END)) / 2, 6) AS score FROM w",
+    "recency_role_adjust": f"""WITH {_SCORED} SELECT doc_id, round(CASE WHEN doc_type = 'annual_report' THEN score + greatest(0.0, (coalesce(year, 0) - 2000) * 0.01::DOUBLE)
+      ELSE greatest(0.0, score - CASE WHEN speaker_role = 'moderator' THEN 0.08::DOUBLE WHEN coalesce(speaker_role, 'unknown') = 'unknown' THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END) END, 6) AS adjusted FROM sc""",
+    "year_widening": f"""WITH {_SCORED}, y AS (SELECT *, coalesce(year IN (2021, 2022), false) AS iny FROM sc), n AS (SELECT *, least(10, sum(CAST(iny AS INTEGER)) OVER (PARTITION BY query_id)) < 8 AS widened FROM y)
+      SELECT query_id, doc_id, widened, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n WHERE widened OR iny) WHERE rank <= 10""",
+    "merged_channels": f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score >= 0.2)
+      SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN doc_type = 'annual_report' THEN 0 ELSE 1 END, rank) AS INTEGER) AS place FROM r WHERE rank <= CASE WHEN doc_type = 'annual_report' THEN 12 ELSE 6 END""",
+    "context_sort": f"""WITH {_SCORED} SELECT query_id, doc_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY year DESC NULLS LAST, CASE WHEN doc_type = 'annual_report' THEN 0 ELSE 1 END, score DESC, doc_id) AS place FROM sc) WHERE place <= 15""",
+    "budget_prefix": f"""WITH {_SCORED}, u AS (SELECT query_id, doc_id, CAST(sum(length(text) + 250) OVER w AS BIGINT) AS used, CAST(row_number() OVER w AS INTEGER) AS place FROM sc WHERE text IS NOT NULL WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING))
+      SELECT * FROM u WHERE used <= 4000 OR place = 1""",
+    "query_expansion": f"""WITH qs AS (SELECT DISTINCT replace(sub_type, '_', ' ') AS query_id, replace(sub_type, '_', ' ') || ' growth guidance' AS q FROM metric_units), e AS (SELECT query_id, flatten([[q], {_INTENT}]) AS l FROM qs),
+      n AS (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS u FROM e) SELECT query_id, array_to_string(u[1:12], '. ') AS expanded FROM n""",
+    "eval_aggregate": f"""WITH {_RANKS}, a AS (SELECT k, count(*) AS queries, round(avg(hit), 4) AS hit, round(avg(mrr), 4) AS mrr, round(avg(precision), 4) AS "precision", round(avg(ndcg), 4) AS ndcg FROM mm GROUP BY k), l AS (UNPIVOT a ON hit, mrr, "precision", ndcg INTO NAME metric VALUE value)
+      SELECT k, queries, metric, value, CASE WHEN value >= CASE {_GOALS} END THEN 'pass' WHEN value >= 0.8 * CASE {_GOALS} END THEN 'warn' ELSE 'fail' END AS band FROM l""",
     "cosine_topk": f"WITH {_NEAR} SELECT * FROM near",
     "idf": f"""WITH d AS (SELECT doc_id, list_distinct({_TK.format('text')}) AS tk FROM documents), t AS (SELECT unnest(tk) AS term FROM d) SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM d) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM t GROUP BY term""",
     "claim_dedup": "SELECT claim_id FROM (SELECT *, row_number() OVER (PARTITION BY sub_type, substring(source_text, 1, 80) ORDER BY chunk_score DESC NULLS LAST, claim_id) AS rn FROM (SELECT DISTINCT ON (claim_id) * FROM concall_claims)) WHERE rn = 1",
