@@ -56,11 +56,11 @@ def weights(targets: dict[str, float], tokens: dict[str, int], max_repeats: dict
         free = {k: t for k, t in goal.items() if k not in held}
         room = 1.0 - sum(held.values())
         norm = sum(free.values())
-        reach = {k: min(1.0, capacity[k] / (budget * room * t / norm)) for k, t in free.items()}
+        reach = {k: min(1.0, capacity[k] / max(budget * room * t / norm, 1e-300)) for k, t in free.items()}
 
         def tempered(exponent: float) -> dict[str, float]:
-            raw = {k: math.exp(math.log(t) + exponent * math.log(reach[k])) for k, t in free.items()}
-            return {k: room * v / sum(raw.values()) for k, v in raw.items()}
+            raw = {k: t * math.exp(exponent * math.log(max(reach[k], 1e-300))) for k, t in free.items()}
+            return {k: room * v / (sum(raw.values()) or 1.0) for k, v in raw.items()}
 
         fits = lambda w: all(budget * w[k] <= capacity[k] * (1 + 1e-9) for k in w)
         if fits(plain := tempered(0.0)):
