@@ -27,7 +27,6 @@ class Join(NamedTuple):
     threshold: float = 0.6
     bands: int = 60
     rows: int = 4
-    bits: int = 512
     filter_bits: int = 1 << 23
     seed: int = 1
 
@@ -79,11 +78,16 @@ def band_keys(found: np.ndarray, join: Join, multipliers: np.ndarray) -> np.ndar
     return key
 
 
+def bits_of(size: int) -> int:
+    """The bits of a set's map: a power of two, twice the size or more, so that maps of large sets don't fill up."""
+    return max(256, 1 << (2 * size - 1).bit_length())
+
+
 def bitmap(found: np.ndarray, bits: int) -> bytes:
     """A bit for each shingle's hash. The bits in which two maps differ are no more than the shingles in which the sets do."""
     marks = np.zeros(bits, np.uint8)
     marks[(found % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(marks).tobytes()
+    return np.packbits(marks, bitorder="little").tobytes()
 
 
 _SIGNATURE = T.StructType(
@@ -106,7 +110,7 @@ def signatures(chunks: DataFrame, join: Join) -> DataFrame:
                     ids.append(chunk_id)
                     nodes.append(node := xxhash.xxh64_intdigest(found.tobytes()))
                     sizes.append(len(found))
-                    maps.append(bitmap(found, join.bits))
+                    maps.append(bitmap(found, bits_of(len(found))))
                     counts.append(0 if node in seen else join.bands)
                     if counts[-1]:
                         seen.add(node)
@@ -121,6 +125,12 @@ def signatures(chunks: DataFrame, join: Join) -> DataFrame:
     return chunks.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(sign, _SIGNATURE)
 
 
+def _folded(maps: pd.Series, width: int) -> np.ndarray:
+    """Maps of one width as rows of words, folded to a smaller width: the map a set would have there."""
+    words = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1, width // 8)
+    return np.bitwise_or.reduce(words, axis=1)
+
+
 def _may_match(join: Join):
     """Whether sizes and bit counts allow the threshold: an upper bound of the overlap, so no pair is lost."""
 
@@ -128,8 +138,12 @@ def _may_match(join: Join):
     def bound(size_a: pd.Series, size_b: pd.Series, map_a: pd.Series, map_b: pd.Series) -> pd.Series:
         if not len(size_a):
             return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(m), np.uint64).reshape(len(m), -1) for m in (map_a, map_b))
-        differ = np.bitwise_count(a ^ b).sum(axis=1)
+        left, right = map_a.str.len().to_numpy(), map_b.str.len().to_numpy()
+        differ = np.zeros(len(size_a), np.int64)
+        for width in {*zip(left, right)}:  # few: widths are powers of two, and near sizes have near ones
+            at = np.flatnonzero((left == width[0]) & (right == width[1]))
+            a, b = (_folded(m.iloc[at], min(width)) for m in (map_a, map_b))
+            differ[at] = np.bitwise_count(a ^ b).sum(axis=1)
         total = size_a.to_numpy(np.int64) + size_b.to_numpy(np.int64)
         overlap = (total - differ) // 2
         return pd.Series(overlap >= join.threshold / (1 + join.threshold) * total - 1e-9)
@@ -144,9 +158,10 @@ def _overlap(join: Join):
     def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         hashes = _Words()
         for left, right in batches:
+            sets = {t: shingles(t, join.words, hashes) for t in {*left, *right}}  # of one Arrow batch
             out = []
             for a, b in zip(left, right):
-                a, b = shingles(a, join.words, hashes), shingles(b, join.words, hashes)
+                a, b = sets[a], sets[b]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(both / (len(a) + len(b) - both))
             yield pd.Series(out, dtype="float64")

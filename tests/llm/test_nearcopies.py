@@ -55,5 +55,9 @@ def test_bit_counts_bound_the_overlap(a, b):
 
     words = n._Words()
     x, y = (n.shingles(" ".join(map(str, t)), 3, words) for t in (a, b))
-    mx, my = (np.unpackbits(np.frombuffer(n.bitmap(s, 512), np.uint8)) for s in (x, y))
+    width = min(n.bits_of(len(x)), n.bits_of(len(y))) // 8
+    import pandas as pd
+
+    mx, my = (np.unpackbits(n._folded(pd.Series([n.bitmap(s, n.bits_of(len(s)))]), width).view(np.uint8)) for s in (x, y))
+    assert (np.packbits(mx) == np.frombuffer(n.bitmap(x, width * 8), np.uint8)).all()
     assert (len(x) + len(y) - int((mx ^ my).sum())) // 2 >= len(np.intersect1d(x, y))
