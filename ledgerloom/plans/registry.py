@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import finance, problems, retrieval, textpipe, warehouse
+from ledgerloom.plans import finance, problems, questions, retrieval, textpipe, warehouse
 
 FLAGSHIP = "fy_revenue_yoy"
-_MODULES = (finance, warehouse, textpipe, retrieval, problems)
+_MODULES = (finance, warehouse, textpipe, retrieval, questions, problems)
 
 
 def queries() -> dict:
