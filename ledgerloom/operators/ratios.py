@@ -38,50 +38,85 @@ def trailing_sum(quarters: DataFrame, value: str, n: int = 4) -> DataFrame:
     return quarters.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).groupBy("symbol").agg(F.round(F.sum(value), 2).alias(f"ttm_{value}"), F.count("*").alias("quarters"))
 
 
-def valuation(pl: DataFrame, bs: DataFrame, price: DataFrame, keys: DataFrame, ttm: DataFrame) -> DataFrame:
-    """pe, forward_pe, pb, ps, enterprise value and its multiples. price, keys and ttm have one row per symbol (the latest)."""
-    x = pl.join(bs, ["symbol", "fiscal_year"], "left").join(price, "symbol", "left").join(keys, "symbol", "left").join(ttm, "symbol", "left")
-    close, cap = nonzero(F.col("close")), nonzero(F.col("market_cap"))
+def _positive(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c > 0, c)
+
+
+def _nz(c: str) -> Column:
+    return nonzero(F.col(c))
+
+
+def facts_of(pl: DataFrame, bs: DataFrame) -> DataFrame:
+    """Profit and loss with the balance sheet of its symbol and year, if any."""
+    return pl.join(bs, ["symbol", "fiscal_year"], "left")
+
+
+def with_latest(facts: DataFrame, price: DataFrame, keys: DataFrame, ttm: DataFrame) -> DataFrame:
+    """Facts with each symbol's latest price, key ratios and trailing earnings, one row per symbol each."""
+    return facts.join(price, "symbol", "left").join(keys, "symbol", "left").join(ttm, "symbol", "left")
+
+
+def valuation_columns() -> list[Column]:
+    """pe, forward_pe, pb, ps, enterprise value and its multiples."""
+    close, cap = _nz("close"), _nz("market_cap")
     ev = F.col("market_cap") + F.col("total_debt") - F.col("cash")
-    pos = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return x.select(
-        "symbol", "fiscal_year", F.round("close", 2).alias("price"), F.round("market_cap", 2).alias("market_cap_cr"),
-        F.coalesce(safe_div(close, pos("ttm_eps")), safe_div(close, pos("eps"))).alias("pe"), safe_div(close, pos("forward_eps")).alias("forward_pe"), safe_div(close, pos("book_value")).alias("pb"),
-        safe_div(cap, pos("revenue")).alias("ps"), F.round(ev, 2).alias("enterprise_value_cr"), safe_div(ev, pos("ebitda")).alias("ev_ebitda"), safe_div(ev, pos("revenue")).alias("ev_sales"),
-    )
+    return [
+        F.round("close", 2).alias("price"), F.round("market_cap", 2).alias("market_cap_cr"), F.coalesce(safe_div(close, _positive("ttm_eps")), safe_div(close, _positive("eps"))).alias("pe"),
+        safe_div(close, _positive("forward_eps")).alias("forward_pe"), safe_div(close, _positive("book_value")).alias("pb"), safe_div(cap, _positive("revenue")).alias("ps"), F.round(ev, 2).alias("enterprise_value_cr"),
+        safe_div(ev, _positive("ebitda")).alias("ev_ebitda"), safe_div(ev, _positive("revenue")).alias("ev_sales"),
+    ]
 
 
-def profitability(pl: DataFrame, bs: DataFrame, precise: bool = False) -> DataFrame:
+def profitability_columns(precise: bool = False) -> list[Column]:
     """Revenue, ebitda, pat, margins, return on equity and on capital, asset turnover."""
-    x = pl.join(bs, ["symbol", "fiscal_year"], "left")
-    pos = lambda c: F.when(c > 0, c)
-    nz = lambda c: nonzero(F.col(c))
-    revenue = pos(F.col("revenue"))
-    return x.select(
-        "symbol", "fiscal_year", F.round(nz("revenue"), 2).alias("revenue_cr"), F.round(nz("ebitda"), 2).alias("ebitda_cr"), F.round(nz("pat"), 2).alias("pat_cr"),
-        pct(nz("ebitda"), revenue, precise).alias("ebitda_margin_pct"), pct(nz("pat"), revenue, precise).alias("pat_margin_pct"), pct(nz("pat"), pos(F.col("equity")), precise).alias("roe_pct"),
-        pct(nz("ebit"), pos(F.col("equity") + F.col("total_debt")), precise).alias("roce_pct"), safe_div(nz("revenue"), pos(F.col("total_assets"))).alias("asset_turnover"),
-    )
+    revenue = _positive("revenue")
+    return [
+        F.round(_nz("revenue"), 2).alias("revenue_cr"), F.round(_nz("ebitda"), 2).alias("ebitda_cr"), F.round(_nz("pat"), 2).alias("pat_cr"), pct(_nz("ebitda"), revenue, precise).alias("ebitda_margin_pct"),
+        pct(_nz("pat"), revenue, precise).alias("pat_margin_pct"), pct(_nz("pat"), _positive("equity"), precise).alias("roe_pct"), pct(_nz("ebit"), _positive(F.col("equity") + F.col("total_debt")), precise).alias("roce_pct"),
+        safe_div(_nz("revenue"), _positive("total_assets")).alias("asset_turnover"),
+    ]
 
 
-def leverage(pl: DataFrame, bs: DataFrame) -> DataFrame:
+def leverage_columns() -> list[Column]:
     """Debt to equity, net debt, net debt to ebitda, interest coverage."""
-    x = pl.join(bs, ["symbol", "fiscal_year"], "left")
-    pos = lambda c: F.when(F.col(c) > 0, F.col(c))
     net = F.col("total_debt") - F.col("cash")
-    return x.select("symbol", "fiscal_year", safe_div(nonzero(F.col("total_debt")), pos("equity")).alias("debt_equity"), F.round(net, 2).alias("net_debt_cr"), safe_div(net, pos("ebitda")).alias("net_debt_ebitda"), safe_div(nonzero(F.col("ebit")), pos("interest")).alias("interest_coverage"))
+    return [safe_div(_nz("total_debt"), _positive("equity")).alias("debt_equity"), F.round(net, 2).alias("net_debt_cr"), safe_div(net, _positive("ebitda")).alias("net_debt_ebitda"), safe_div(_nz("ebit"), _positive("interest")).alias("interest_coverage")]
+
+
+def valuation(pl: DataFrame, bs: DataFrame, price: DataFrame, keys: DataFrame, ttm: DataFrame) -> DataFrame:
+    return with_latest(facts_of(pl, bs), price, keys, ttm).select("symbol", "fiscal_year", *valuation_columns())
+
+
+def profitability(pl: DataFrame, bs: DataFrame, precise: bool = False) -> DataFrame:
+    return facts_of(pl, bs).select("symbol", "fiscal_year", *profitability_columns(precise))
+
+
+def leverage(pl: DataFrame, bs: DataFrame) -> DataFrame:
+    return facts_of(pl, bs).select("symbol", "fiscal_year", *leverage_columns())
+
+
+def against_year_before(facts: DataFrame, metrics: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """Facts with the metrics of the fiscal year before, by a window ordered by year that checks the gap: one shuffle by symbol, no second scan."""
+    w = Window.partitionBy("symbol").orderBy("fiscal_year")
+    adjacent = F.lag("fiscal_year").over(w) == F.col("fiscal_year") - 1
+    x = facts.select("*", *(F.when(adjacent, F.lag(m).over(w)).alias(f"{m}_before") for m in metrics))
+    return x, [yoy(F.col(m), F.col(f"{m}_before")).alias(f"{m}_yoy_pct") for m in metrics]
+
+
+_GROWING = ("revenue", "pat", "ebitda", "eps")
 
 
-def growth(pl: DataFrame, metrics: tuple[str, ...] = ("revenue", "pat", "ebitda", "eps")) -> DataFrame:
-    """Year on year change of each metric against the fiscal year before; a missing year gives NULL."""
-    before = pl.select("symbol", (F.col("fiscal_year") + 1).alias("fiscal_year"), *(F.col(m).alias(f"{m}_before") for m in metrics))
-    return pl.join(before, ["symbol", "fiscal_year"], "left").select("symbol", "fiscal_year", *(yoy(F.col(m), F.col(f"{m}_before")).alias(f"{m}_yoy_pct") for m in metrics))
+def growth(pl: DataFrame, metrics: tuple[str, ...] = _GROWING) -> DataFrame:
+    """Year on year change of each metric against the fiscal year before; a missing year gives NULL. One row per (symbol, year) in `pl`."""
+    x, changes = against_year_before(pl, metrics)
+    return x.select("symbol", "fiscal_year", *changes)
 
 
 def all_ratios(pl: DataFrame, bs: DataFrame, price: DataFrame, keys: DataFrame, ttm: DataFrame) -> DataFrame:
-    """Every ratio of every symbol and year, one row each."""
-    on = ["symbol", "fiscal_year"]
-    return valuation(pl, bs, price, keys, ttm).join(profitability(pl, bs), on).join(leverage(pl, bs), on).join(growth(pl), on)
+    """Every ratio of every symbol and year, one row each: the facts are joined once and all ratios are columns of that join."""
+    x, changes = against_year_before(pl, _GROWING)
+    return with_latest(facts_of(x, bs), price, keys, ttm).select("symbol", "fiscal_year", *valuation_columns(), *profitability_columns(), *leverage_columns(), *changes)
 
 
 def default_year(pl: DataFrame, fallback: int = 2024) -> DataFrame:

@@ -18,8 +18,8 @@ def _latest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 def fy_revenue_yoy(spark: SparkSession, d: str) -> DataFrame:
     """Revenue of each company and fiscal year with its growth."""
-    pl = a.profit_loss(spark, d)
-    return pl.select("symbol", "fiscal_year", F.round("revenue", 2).alias("revenue")).join(r.growth(pl, ("revenue",)), ["symbol", "fiscal_year"])
+    x, changes = r.against_year_before(a.profit_loss(spark, d), ("revenue",))
+    return x.select("symbol", "fiscal_year", F.round("revenue", 2).alias("revenue"), *changes)
 
 
 def latest_row_per_symbol(spark: SparkSession, d: str) -> DataFrame:
