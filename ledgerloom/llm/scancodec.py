@@ -326,7 +326,7 @@ def line_features(line: str, pages: int, docs: int, place: str, whole: bool, edg
     words = bare.split()
     plain = bool(_PLAIN.fullmatch(bare)) and any(c.isdigit() for c in bare)
     roman = bool(_ROMAN.fullmatch(bare))
-    form = "number" if plain else "roman" if roman else "caps" if bare.isupper() else "title" if all(w[:1].isupper() or not w[:1].isalpha() for w in words) else "text"
+    form = "number" if plain else "roman" if roman and bare.islower() else "capital roman" if roman else "caps" if bare.isupper() else "title" if all(w[:1].isupper() or not w[:1].isalpha() for w in words) else "text"
     often = "many" if pages >= 4 else str(pages)
     common = "many" if docs >= 5 else "few" if docs > 1 else "one"
     return [
@@ -353,7 +353,7 @@ def train_furniture(rows: list[tuple], t: Training = Training()) -> Perceptron:
             examples.append((line_features(*row), -1))
         elif _VALUE.match(line.strip()):
             examples.append((line_features(*row), -1))
-        elif plain or (whole and _ROMAN.fullmatch(line.strip())) or ((pages >= 3 or running >= 2) and len(words) <= 9 and not heading and not line.strip().endswith(".") and line.strip()[:1].isupper()):
+        elif plain or (_ROMAN.fullmatch(line.strip()) and (whole or line.strip().islower())) or ((pages >= 3 or running >= 2) and len(words) <= 9 and not heading and not line.strip().endswith(".") and line.strip()[:1].isupper()):
             examples.append((line_features(*row), 1))
         elif heading or len(words) > 9 or line.strip().endswith((".", ",")) or line.strip()[:1].islower():
             examples.append((line_features(*row), -1))
