@@ -6,6 +6,8 @@ combines before the shuffle), not a window. A figure that can't be computed is N
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +20,24 @@ def latest_by(df: DataFrame, key: str, order: list[str], values: list[str]) -> D
     return df.groupBy(key).agg(pick).select(key, *(F.col(f"v.{v}").alias(v) for v in values))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time (as-of join).
 
-    Both sides are laid on one time line and the last right row is carried forward, so there is one
-    shuffle by key and no pairs; equal times count as before.
+    Both sides are laid on one time line and the last right row is carried forward, so no pairs arise;
+    equal times count as before; a right time should occur once per key. `bucket` cuts the line (a month
+    of a date, say) so that a key of any length is many windows: what a bucket ends with is carried into
+    the later ones over one row per key and bucket.
     """
-    a = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"))
-    b = right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
+    cut = bucket or (lambda _: F.lit(0))
+    held = F.struct(*values)
+    kind = right.select(held.alias("v")).schema[0].dataType
+    a = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v")).withColumn("_b", cut(F.col("_t")))
+    b = right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), held.alias("_v")).withColumn("_b", cut(F.col("_t")))
     line = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = line.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    over = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = line.groupBy(key, "_b").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))).alias("_e")).select(key, "_b", F.last("_e", ignorenulls=True).over(over).alias("_in"))
+    w = Window.partitionBy(key, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = line.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").join(ends, [key, "_b"], "left").withColumn("_v", F.coalesce("_v", "_in"))
     return carried.select(*left.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
 
 

@@ -35,7 +35,8 @@ def test_trailing_and_as_of(spark):
     assert {tuple(x) for x in r.trailing_sum(q, "eps").collect()} == {("A", 10.0, 4), ("B", None, 1)}
     left = spark.createDataFrame([("A", 5), ("A", 1), ("B", 3), ("A", 9)], "k string, t int")
     right = spark.createDataFrame([("A", 2, 7.0), ("A", 5, 8.0), ("B", 4, 9.0)], "k string, u int, v double")
-    assert {tuple(x) for x in r.as_of(left, right, "k", "t", "u", ["v"]).collect()} == {("A", 5, 8.0), ("A", 1, None), ("B", 3, None), ("A", 9, 8.0)}
+    for bucket in (None, lambda t: F.floor(t / 3)):
+        assert {tuple(x) for x in r.as_of(left, right, "k", "t", "u", ["v"], bucket).collect()} == {("A", 5, 8.0), ("A", 1, None), ("B", 3, None), ("A", 9, 8.0)}
 
 
 def test_ratio_guards(spark):
