@@ -30,7 +30,7 @@ def lexicon_of(page_blocks: DataFrame, s: Settings) -> codec.Lexicon:
     plain = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9|]+(?:[,.][A-Za-z0-9|]+)*"), F.lit(0))).alias("t")).where(F.col("t").rlike("[A-Za-z0-9]") & (F.length("t") <= 40))
     keyed = plain.select(F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", "[0-9]", "9")).otherwise(F.lower("t")).alias("k"))
     compounds = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+(?:-[a-z]+)+"), F.lit(0))).alias("k")).where(F.length("k") <= 60)
-    counts = keyed.unionByName(compounds).groupBy("k").agg(F.count("*").alias("n"))
+    counts = cut(keyed.unionByName(compounds).groupBy("k").agg(F.count("*").alias("n")))  # read twice
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     kept = counts.where(F.col("n") >= max(1.0, s.min_share * total)).toPandas()
     return codec.Lexicon(zip(kept["k"], (int(n) for n in kept["n"])))
@@ -72,6 +72,7 @@ def furniture_lines(blocks: DataFrame, s: Settings) -> DataFrame:
             (F.col("n") == 1).alias("whole"), ((F.col("line_no") == 0) | (F.col("line_no") == F.col("n") - 1)).alias("edge"), F.coalesce("heading", F.lit(False)).alias("heading"), (F.col("rows") & (F.col("n") > 1)).alias("table"), "running",
         )
     )
+    placed = cut(placed)  # read for the sample and for the verdicts
     columns = ["line", "pages", "docs", "place", "whole", "edge", "heading", "table", "running"]
     sample = placed.select(*columns, F.xxhash64("doc_id", "block_index", "line_no").alias("h")).orderBy("h", "line").limit(s.sample_lines).toPandas()
     model = placed.sparkSession.sparkContext.broadcast(codec.train_furniture(list(sample[columns].itertuples(index=False, name=None))).w)
