@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterable
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +40,34 @@ class Lexicon(dict):
         return math.log2(1 + self.get(k, 0))
 
 
+class WholeLexicon(Lexicon):
+    """A lexicon whose rarer keys are looked up in sorted blocks of text, each of lines of key, tab and count.
+
+    Every key has its exact count, as in a dict of all, for a fraction of its memory.
+    """
+
+    def __init__(self, held: dict[str, int], firsts: list[str], blocks: list[bytes]):
+        super().__init__(held)
+        self.firsts, self.blocks = firsts, blocks
+
+    def __contains__(self, k: str) -> bool:
+        return self.get(k) is not None
+
+    def get(self, k: str, default=None):
+        if (n := super().get(k)) is not None:
+            return n
+        if (i := bisect_right(self.firsts, k) - 1) < 0:
+            return default
+        block, line = self.blocks[i], f"\n{k}\t".encode()
+        if (at := block.find(line)) < 0:
+            return default
+        return int(block[at + len(line) : block.index(b"\n", at + len(line))])
+
+
+def lexicon_from(held: dict[str, int], firsts: list[str], blocks: list[bytes]) -> Lexicon:
+    return WholeLexicon(held, firsts, blocks) if blocks else Lexicon(held)
+
+
 def candidates(token: str, lexicon: Lexicon) -> list[tuple[str, str]]:
     """(rewritten token, operation) by one confusion, letters for digits or one deletion of a doubled letter, of those the lexicon has more often.
 
@@ -224,18 +255,39 @@ class Training(NamedTuple):
     lines: int = 1500
     epochs: int = 3
     seed: int = 5
+    rare: int = 1500
+    compounds: int = 2000
+
+
+class Examples(NamedTuple):
+    """Keys the editor is fitted on: frequent ones, the most frequent first; words seen once or twice and compounds seen twice or more, each in order of key."""
+
+    frequent: Iterable[str]
+    rare: Iterable[str]
+    compounds: Iterable[str]
+
+
+def examples_in(lexicon: Lexicon) -> Examples:
+    """The examples of a lexicon that is held as a whole."""
+    return Examples(
+        sorted((k for k, n in lexicon.items() if n >= 3 and "-" not in k), key=lambda k: (-lexicon[k], k)),
+        sorted(k for k, n in lexicon.items() if n <= 2 and k.isalpha() and len(k) > 2),
+        sorted(k for k in lexicon if "-" in k and lexicon[k] >= 2),
+    )
 
 
-def train_editor(lexicon: Lexicon, lines: list[str], t: Training = Training()) -> Editor:
+def train_editor(lexicon: Lexicon, lines: list[str], t: Training = Training(), known: Examples | None = None) -> Editor:
     """Fits both models on frequent words misread or broken artificially, and on words and line ends as they are.
 
-    A frequent word that is one confusion away from one twenty times as frequent is itself likely
-    misread and no example.
+    known: the examples where the lexicon isn't held as a whole. A frequent word that is one confusion
+    away from one twenty times as frequent is itself likely misread and no example.
     """
+    known = known or examples_in(lexicon)
+    count = lambda k: lexicon.get(k, 0)
     rng = np.random.default_rng(t.seed)
     editor = Editor(lexicon, Perceptron(), Perceptron())
-    frequent = sorted((k for k, n in lexicon.items() if n >= 3 and "-" not in k), key=lambda k: (-lexicon[k], k))[: t.words]
-    clean = [w for w in frequent if len(w) < 25 and all(lexicon.get(key(c), 0) < 20 * lexicon[w] for c, _ in candidates(w, lexicon))]
+    frequent = list(islice(known.frequent, t.words))
+    clean = [w for w in frequent if len(w) < 25 and all(lexicon.get(key(c), 0) < 20 * count(w) for c, _ in candidates(w, lexicon))]
     examples: list[tuple[str, str]] = []
     pretended: dict[str, int] = {}
     for w in clean:
@@ -257,13 +309,13 @@ def train_editor(lexicon: Lexicon, lines: list[str], t: Training = Training()) -
             bad = noisy(form, rng) if len(w) > 2 else None
             if bad and twice:
                 bad = form.replace("ll", str(rng.choice(["II", "11", "1l"])), 1) if "ll" in form else noisy(bad, rng) if rng.random() < 0.4 else None
-            if bad and bad != form and lexicon.get(key(bad), 0) * 4 < lexicon[w]:
+            if bad and bad != form and lexicon.get(key(bad), 0) * 4 < count(w):
                 examples.append((bad, form))
                 # The same misreading may occur again and again in a corpus.
-                if key(bad) not in lexicon and (again := int(lexicon[w] * float(rng.choice([0, 0.002, 0.01, 0.02])))):
+                if key(bad) not in lexicon and (again := int(count(w) * float(rng.choice([0, 0.002, 0.01, 0.02])))):
                     pretended[key(bad)] = again
     # Rare words that nothing explains are intact: names and terms.
-    rare = sorted(k for k, n in lexicon.items() if n <= 2 and k.isalpha() and len(k) > 2 and not candidates(k, lexicon))[:1500]
+    rare = list(islice((k for k in known.rare if not candidates(k, lexicon)), t.rare))
     examples += [(w, w) for w in rare]
     p = editor.edits
     lexicon.update(pretended)
@@ -284,13 +336,13 @@ def train_editor(lexicon: Lexicon, lines: list[str], t: Training = Training()) -
     editor = Editor(lexicon, p.average(), Perceptron())
 
     pairs: list[tuple[str, str, str, bool]] = []
-    words = [w for w in clean if w.isalpha() and len(w) >= 4 and lexicon[w] >= 3]
+    words = [w for w in clean if w.isalpha() and len(w) >= 4 and count(w) >= 3]
     for w in words:
         for _ in range(2):
             at = int(rng.integers(2, len(w) - 1)) if len(w) > 3 else 2
             mark = str(rng.choice(["", "", "-", "-", "¬", "­", "‐"]))
             pairs.append((w[:at], mark, w[at:], True))
-    for k in sorted(k for k in lexicon if "-" in k and lexicon[k] >= 2)[:2000]:
+    for k in islice(known.compounds, t.compounds):
         parts = k.split("-")
         for i in range(1, len(parts)):
             for mark in ("-", "-", "‐"):

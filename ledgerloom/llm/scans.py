@@ -15,25 +15,56 @@ from ledgerloom.session import cut
 
 
 class Settings(NamedTuple):
-    """min_share bounds the lexicon: it has at most 1 / min_share entries, whatever the corpus. The samples bound what the models are fitted on."""
+    """held bounds the keys of the lexicon that are dict entries; the rarer ones are compact text, with counts as exact. The samples bound what the models are fitted on."""
 
-    min_share: float = 5e-7
+    held: int = 500_000
     sample_blocks: int = 600
     sample_lines: int = 12_000
     short_line: int = 90
     stretch: int = 4096
+    line_keys: int = 256
 
 
-def lexicon_of(page_blocks: DataFrame, s: Settings) -> codec.Lexicon:
-    """Counts of words, numbers' forms and compounds over all blocks, of those with min_share of all tokens."""
+def key_counts(page_blocks: DataFrame) -> DataFrame:
+    """k, n: how often each word, number's form and compound stands in all blocks."""
     texts = page_blocks.select("text").where(F.col("text").isNotNull())
     plain = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9|]+(?:[,.][A-Za-z0-9|]+)*"), F.lit(0))).alias("t")).where(F.col("t").rlike("[A-Za-z0-9]") & (F.length("t") <= 40))
     keyed = plain.select(F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", "[0-9]", "9")).otherwise(F.lower("t")).alias("k"))
     compounds = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+(?:-[a-z]+)+"), F.lit(0))).alias("k")).where(F.length("k") <= 60)
-    counts = cut(keyed.unionByName(compounds).groupBy("k").agg(F.count("*").alias("n")))  # read twice
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    kept = counts.where(F.col("n") >= max(1.0, s.min_share * total)).toPandas()
-    return codec.Lexicon(zip(kept["k"], (int(n) for n in kept["n"])))
+    return keyed.unionByName(compounds).groupBy("k").agg(F.count("*").alias("n"))
+
+
+def lexicon_of(page_blocks: DataFrame, s: Settings) -> tuple[codec.Lexicon, codec.Examples | None]:
+    """The count of every key, and the keys to fit the editor on where not all are dict entries.
+
+    The most frequent keys, at most `held`, are entries; all others come as sorted blocks of lines that
+    executors write, so what a key costs is about its own length. No key is left out at any size.
+    """
+    counts = cut(key_counts(page_blocks))  # read several times
+    least, n = 1, 0
+    for row in counts.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():  # one row per distinct count
+        if (n := n + row["keys"]) > s.held:
+            least = row["n"] + 1
+            break
+    kept = counts.where(F.col("n") >= least).toPandas()
+    held = dict(zip(kept["k"], (int(n) for n in kept["n"])))
+    if n <= s.held:
+        return codec.Lexicon(held), None
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [batch[at : at + s.line_keys] for at in range(0, len(batch), s.line_keys)]
+            text = ["\n" + "".join(f"{k}\t{n}\n" for k, n in zip(part["k"], part["n"])) for part in parts]
+            yield pd.DataFrame({"first": [part["k"].iloc[0] for part in parts], "block": [t.encode() for t in text]})
+
+    rest = counts.where(F.col("n") < least)
+    blocks = rest.repartitionByRange("k").sortWithinPartitions("k").mapInPandas(lines, "first string, block binary").toPandas().sort_values("first")
+    lexicon = codec.lexicon_from(held, list(blocks["first"]), [bytes(b) for b in blocks["block"]])
+    t = codec.Training()
+    frequent = counts.where(~F.col("k").contains("-") & (F.col("n") >= 3)).orderBy(F.desc("n"), "k").limit(t.words).toPandas()["k"]
+    compounds = counts.where(F.col("k").contains("-") & (F.col("n") >= 2)).orderBy("k").limit(t.compounds).toPandas()["k"]
+    rare = (r["k"] for r in counts.where((F.col("n") <= 2) & F.col("k").rlike("^[a-z]{3,}$")).select("k").orderBy("k").toLocalIterator())  # only as far as it is read
+    return lexicon, codec.Examples(list(frequent), rare, list(compounds))
 
 
 def skeleton(c: Column) -> Column:
@@ -162,16 +193,16 @@ def repaired(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
     tables keep their rows. block_type isn't used. NULL texts and keys give no row, repeated rows count
     once, empty texts have no noise, extra columns are ignored; with no blocks there is no row.
 
-    The lexicon counts all blocks and is bounded by min_share before it comes to the driver; models are
-    fitted on bounded samples (Settings, scancodec.Training); every line of every block is scanned. The
+    The lexicon counts all keys of all blocks, whatever the size of the input; models are fitted on
+    bounded samples (Settings, scancodec.Training); every line of every block is scanned. The
     neighbours of a block come from windows over stretches of a document and the stretches' ends, so
     that no document is one task's group.
     """
-    lexicon = lexicon_of(page_blocks, s)
+    lexicon, known = lexicon_of(page_blocks, s)
     blocks = annual_blocks(page_blocks)
     sample = blocks.select("text", F.xxhash64("doc_id", "block_index").alias("h")).orderBy("h", "text").limit(s.sample_blocks).toPandas()["text"]
-    editor = codec.train_editor(lexicon, [line for t in sample for line in t.split("\n") if len(line.split()) > 6][: codec.Training().lines])
-    shared = blocks.sparkSession.sparkContext.broadcast((dict(lexicon), editor.edits.w, editor.joins.w))
+    editor = codec.train_editor(lexicon, [line for t in sample for line in t.split("\n") if len(line.split()) > 6][: codec.Training().lines], known=known)
+    shared = blocks.sparkSession.sparkContext.broadcast((dict(lexicon), getattr(lexicon, "firsts", []), getattr(lexicon, "blocks", []), editor.edits.w, editor.joins.w))
 
     removed = furniture_lines(blocks, s).groupBy("doc_id", "block_index").agg(F.collect_set("line_no").alias("removed"))
     lines = F.split("text", "\n", -1)
@@ -195,8 +226,8 @@ def repaired(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     @F.pandas_udf(_SCAN)
     def scanned(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        words, edits, joins = shared.value
-        e = codec.Editor(codec.Lexicon(words), codec.Perceptron(edits), codec.Perceptron(joins))
+        words, firsts, texts, edits, joins = shared.value
+        e = codec.Editor(codec.lexicon_from(words, firsts, texts), codec.Perceptron(edits), codec.Perceptron(joins))
         for batch in batches:
             rows = [scan(e, text.split("\n"), {int(i) for i in gone}, h or "", t or "") for text, gone, h, t in zip(*batch)]
             yield pd.DataFrame(rows, columns=["hyphen", "char", "text"])

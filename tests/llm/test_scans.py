@@ -59,3 +59,23 @@ def test_blocks(spark):
     text = {(r.page_num, r.paragraph): r.text for r in scans.paragraphs(blocks).where("doc_id = 4").collect()}
     assert text[(1, 0)] == "The committee reviewed the company report and the board approved the payment." and text[(1, 1)].endswith("although import competition") and "hurt the region." in text[(2, None)] if (2, None) in text else True
     assert scans.noise_found(blocks.limit(0)).count() == 0
+
+
+def test_no_key_is_too_rare(spark):
+    filler = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100))
+    blocks = spark.createDataFrame([("Felondasov met twice Marvenqui and marvenqui of the well-tempered.",)], "text string").unionByName(spark.range(25_000).selectExpr(f"'{filler}' as text"))
+    lexicon, _ = scans.lexicon_of(blocks, scans.Settings())
+    assert [lexicon.get(k, 0) for k in ("felondasov", "marvenqui", "well-tempered", "wordak", "absent")] == [1, 2, 1, 25_000, 0]
+
+
+def test_verdicts_do_not_depend_on_what_is_held(spark):
+    blocks = spark.createDataFrame(rows() + [(5, "annual_report", i, 1, "prose", None, f"Mr {a}{b}osov and {b}{a}enqui spoke of short-term and well-{a} plans.", "") for i, (a, b) in enumerate([("fel", "mar"), ("zor", "vel"), ("tam", "quin")])], BLOCKS)
+    whole, none = scans.lexicon_of(blocks, scans.Settings())
+    assert none is None
+    expected, wanted = sorted(map(str, scans.repaired(blocks).collect())), c.examples_in(whole)
+    for held in (0, 20):
+        s = scans.Settings(held=held, line_keys=3)
+        lexicon, known = scans.lexicon_of(blocks, s)
+        assert len(dict(lexicon)) <= held and len(lexicon.blocks) > 5 and all(lexicon.get(k) == n and k in lexicon for k, n in whole.items()) and not any(k in lexicon for k in ("", "aa", "fe", "zzzz", "~"))
+        assert tuple(list(x) for x in known) == tuple(wanted)
+        assert sorted(map(str, scans.repaired(blocks, s).collect())) == expected
