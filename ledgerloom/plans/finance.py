@@ -29,7 +29,7 @@ def latest_row_per_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 def price_as_of(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier shipment with the last price at or before it."""
-    ships = a.sales_lines(spark, d).where("l_quantity >= 49").select("symbol", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("shipped"))
+    ships = a.sales_lines(spark, d).select("symbol", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("shipped"))
     return r.as_of(ships, a.prices(spark, d), "symbol", "shipped", "date", ["close"], bucket=lambda t: F.trunc(t, "month"))
 
 

@@ -45,3 +45,20 @@ def test_ratio_guards(spark):
     p, lv = r.profitability(pl, bs).first(), r.leverage(pl, bs).first()
     assert (p.ebitda_cr, p.roe_pct, p.roce_pct, p.asset_turnover, p.pat_margin_pct) == (None, None, None, 2.0, 4.0)
     assert (lv.debt_equity, lv.net_debt_cr, lv.net_debt_ebitda, lv.interest_coverage) == (None, -5.0, None, None)
+
+
+def test_every_shipment_has_its_price(spark, small):
+    """Against all pairs of a shipment and an earlier price."""
+    import duckdb
+
+    from ledgerloom.plans import finance
+    from ledgerloom.sources import adapters as a
+
+    c = duckdb.connect()
+    for name in ("lineitem", "orders", "supplier"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
+    pairs = f"""WITH {a.SALES_SQL}, {a.PRICES_SQL}, ships AS (SELECT symbol, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS shipped FROM sales)
+      SELECT s.symbol, l_orderkey, l_linenumber, shipped, arg_max(p.close, p.date) AS close FROM ships s LEFT JOIN prices p ON s.symbol = p.symbol AND p.date <= s.shipped GROUP BY ALL"""
+    expected = c.sql(pairs).fetchall()
+    got = [tuple(x) for x in finance.price_as_of(spark, small).select("symbol", "l_orderkey", "l_linenumber", "shipped", "close").collect()]
+    assert len(got) == c.sql("SELECT count(*) FROM lineitem").fetchall()[0][0] and sorted(got, key=repr) == sorted(expected, key=repr)
