@@ -22,13 +22,17 @@ def lookup(questions: DataFrame, cache: DataFrame, now: Column, ttl: int = TTL)
     return questions.join(live, "key", "left").withColumn("hit", F.col("response").isNotNull())
 
 
-def nearest(questions: DataFrame, cache: DataFrame, least: float = SIMILAR) -> DataFrame:
+def nearest(questions: DataFrame, cache: DataFrame, least: float = SIMILAR, but_self: bool = False) -> DataFrame:
     """Each question's nearest entry of its company and type: question_id, entry_id, similarity, hit.
 
+    but_self: questions and entries share their ids, and an entry isn't looked up in itself.
+
     Vectors have unit length. Company and type are equi-join keys, so only entries of one company meet.
     Years are looked at on the nearest entry alone: where both name years, they must overlap.
     """
     pairs = questions.select("question_id", "symbol", "doc_type", F.col("vector").alias("qv"), F.col("years").alias("qy")).join(cache.select("entry_id", "symbol", "doc_type", F.col("vector").alias("cv"), F.col("years").alias("cy")), ["symbol", "doc_type"])
+    if but_self:
+        pairs = pairs.where("question_id <> entry_id")
     scored = pairs.select("question_id", "entry_id", F.round(dot("qv", "cv"), 6).alias("similarity"), ((F.size("qy") == 0) | (F.size("cy") == 0) | F.arrays_overlap("qy", "cy")).alias("years_meet"))
     w = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "entry_id")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("question_id", "entry_id", "similarity", (F.col("years_meet") & (F.col("similarity") >= least)).alias("hit"))

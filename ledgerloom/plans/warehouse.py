@@ -73,7 +73,7 @@ def ledger_ingested(spark: SparkSession, d: str) -> DataFrame:
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Companies named by documents that the company table lacks."""
     new = table(spark, d, "rag_documents").select(l.symbol_text().alias("symbol"), "id").where("symbol <> ''")
-    old = table(spark, d, "rag_companies").select(l.symbol_text().alias("symbol")).where(F.length("symbol") % 2 == 0)
+    old = table(spark, d, "rag_companies").select(l.symbol_text().alias("symbol"))
     return l.insert_if_absent(old, new, "symbol", ["id"])
 
 

@@ -153,3 +153,20 @@ def test_streams(spark, tmp_path, small):
     q = ingest.counts(ingest.first_seen(stream, "event_id", "ts"), "ts", "event_type", late=None).writeStream.format("memory").queryName("n").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert 0 < spark.sql("select sum(n) from n").first()[0] <= events.count()
+
+
+def test_absent_companies_are_looked_up_in_all(spark, tmp_path):
+    from ledgerloom.plans import warehouse
+
+    spark.createDataFrame([(1, "ABC"), (2, "abcd "), (3, None)], "id int, symbol string").write.parquet(f"{tmp_path}/rag_companies.parquet")
+    spark.createDataFrame([(1, "ABC"), (2, "ABCD"), (5, "XYZ"), (4, "xyz"), (6, "UVWX"), (7, " "), (8, None)], "id int, symbol string").write.parquet(f"{tmp_path}/rag_documents.parquet")
+    assert {tuple(x) for x in warehouse.insert_if_absent(spark, str(tmp_path)).collect()} == {("XYZ", 4), ("UVWX", 6)}
+
+
+def test_nearest_entry_is_sought_in_all(spark, tmp_path):
+    from ledgerloom.plans import retrieval
+
+    vectors = [(0, [1.0, 0.0], 1), (60, [0.8, 0.6], 1), (3, [0.6, 0.8], 1), (20, [1.0, 0.0], 2), (7, [0.0, 1.0], 3)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x.question_id: (x.entry_id, x.similarity, x.hit) for x in retrieval.cache_semantic(spark, str(tmp_path)).collect()}
+    assert got == {0: (60, 0.8, True), 60: (3, 0.96, True)}
