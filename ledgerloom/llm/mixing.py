@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,11 +93,12 @@ def default_budget(targets: dict[str, float], tokens: dict[str, int], max_repeat
 _PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("budget", T.LongType()), T.StructField("max_repeats", T.IntegerType())])
 
 
-def measured(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """Distinct texts with tokens: doc_id (the least of its copies), source, tokens, h (a place in the permutation)."""
-    texts = documents.select("doc_id", F.trim("source").alias("source"), "text").where(F.col("source").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counted = texts.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), token_count(texts, "text", folder).alias("tokens"))
-    one = counted.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d"))
+def measured(documents: DataFrame, folder: str = TOKENIZERS, idle: Column | None = None) -> DataFrame:
+    """Distinct texts with tokens: doc_id (the least of its copies, of those that aren't idle if there are any), source, tokens."""
+    idle = F.lit(False) if idle is None else idle
+    texts = documents.select("doc_id", F.trim("source").alias("source"), "text", idle.alias("idle")).where(F.col("source").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    counted = texts.select("doc_id", "source", "idle", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), token_count(texts, "text", folder).alias("tokens"))
+    one = counted.groupBy("h1", "h2").agg(F.min(F.struct("idle", "doc_id", "source", "tokens")).alias("d"))
     return one.select("d.doc_id", "d.source", "d.tokens").where(F.col("tokens") > 0)
 
 
@@ -119,7 +120,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """
     spark = documents.sparkSession
     goals = targets.select(F.trim("source").alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("int").alias("max_repeats"))
-    texts = measured(documents, folder).join(goals.select("source", "max_repeats"), "source")
+    # Only copies within named sources are reduced, and one that asks for nothing comes last, so that a source without a target takes no text from one with.
+    idle = (F.col("target_share") <= 0) | (F.col("max_repeats") <= 0)
+    named = documents.select("doc_id", F.trim("source").alias("source"), "text").join(F.broadcast(goals.select("source", idle.alias("idle"))), "source")
+    texts = measured(named, folder, F.col("idle")).join(goals.select("source", "max_repeats"), "source")
     place = F.xxhash64("doc_id", F.lit(seed))
     texts = cut(texts.select("doc_id", "source", "tokens", "max_repeats", place.alias("place"), F.pmod(place, F.lit(blocks)).cast("int").alias("block")))
     per_block = texts.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))

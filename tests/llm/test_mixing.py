@@ -40,3 +40,13 @@ def test_mix(spark):
     assert {r.source: r.max_times for r in m.mix(docs, goals, total_tokens=10**9)[1].collect()} == {"big": 1, "small": 3, "absent": 0}
     empty = m.mix(docs.limit(0), goals)
     assert empty[0].count() == 0 and {r.actual_share for r in empty[1].collect()} == {None} and m.mix(docs, goals.limit(0))[1].count() == 0
+
+
+def test_unnamed_source_takes_no_text(spark):
+    rows = [(i, f"shared text number {i}", "Unnamed") for i in range(10)] + [(100 + i, f"shared text number {i}", " wire ") for i in range(10)] + [(200 + i, f"own text number {i}", "big") for i in range(40)]
+    rows += [(300, "shared text number 0", "big")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for idle in ([], [("Unnamed", 0.0, 1)], [("Unnamed", 0.5, 0)]):
+        goals = spark.createDataFrame([("wire", 0.2, 1), ("big", 0.8, 1), *idle], "source string, target_share double, max_repeats int")
+        drawn, report = m.mix(docs, goals, total_tokens=10**9)
+        assert {r.source: r.texts for r in report.collect() if r.source != "Unnamed"} == {"wire": 10, "big": 40} and {r.doc_id for r in drawn.collect()} == set(range(100, 110)) | set(range(200, 240))
