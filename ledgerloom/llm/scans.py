@@ -243,12 +243,20 @@ def noise_found(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def paragraphs(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, page_num, paragraph (its first block_index) and text: blocks in order, each running on until a sentence ends."""
+    """doc_id, page_num, paragraph (its first block_index) and text: blocks in order, each running on until a sentence ends.
+
+    The last text and the last start of each stretch are carried into the later ones, so that a
+    paragraph runs over the edge of a stretch.
+    """
     r = cut(repaired(page_blocks, s).where(F.col("text") != "").select("doc_id", "page_num", "block_index", "text"))
-    stretch = F.expr(f"block_index div {s.stretch}")
-    w = Window.partitionBy("doc_id", "page_num", "stretch").orderBy("block_index")
+    r = r.withColumn("stretch", F.expr(f"block_index div {s.stretch}"))
+    keys = ["doc_id", "page_num", "stretch"]
+    w = Window.partitionBy(*keys).orderBy("block_index")
+    earlier = Window.partitionBy("doc_id", "page_num").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = r.groupBy(*keys).agg(F.max_by("text", "block_index").alias("s_text")).select(*keys, F.last("s_text").over(earlier).alias("in_text"))
     closed = F.col("before").isNull() | F.col("before").rlike(r"[.!?:।][\"'”’)]*$") | F.col("text").rlike(r"^[^a-z0-9]*[A-Z].*\n") | ~F.col("text").rlike(r"^[a-z0-9(,;]")
-    begun = r.withColumn("stretch", stretch).withColumn("before", F.lag("text").over(w)).withColumn("start", F.when(closed, F.col("block_index")))
-    placed = begun.withColumn("paragraph", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = r.join(ends, keys).withColumn("before", F.coalesce(F.lag("text").over(w), F.col("in_text"))).withColumn("start", F.when(closed, F.col("block_index"))).drop("in_text", "before")
+    into = begun.groupBy(*keys).agg(F.max("start").alias("s_start")).select(*keys, F.last("s_start", ignorenulls=True).over(earlier).alias("in_start"))
+    placed = begun.join(into, keys).withColumn("paragraph", F.coalesce(F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("in_start")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"]), " ")
     return placed.groupBy("doc_id", "page_num", "paragraph").agg(text.alias("text"))

@@ -79,3 +79,11 @@ def test_verdicts_do_not_depend_on_what_is_held(spark):
         assert len(dict(lexicon)) <= held and len(lexicon.blocks) > 5 and all(lexicon.get(k) == n and k in lexicon for k, n in whole.items()) and not any(k in lexicon for k in ("", "aa", "fe", "zzzz", "~"))
         assert tuple(list(x) for x in known) == tuple(wanted)
         assert sorted(map(str, scans.repaired(blocks, s).collect())) == expected
+
+
+def test_paragraphs_run_over_stretches(spark):
+    texts = ["The board reviewed the plan and", "the payment that was made to", "the committee in the market while", "growth was steady.", "Revenue moved because of", "higher demand."]
+    blocks = spark.createDataFrame([(7, "annual_report", 4093 + i, 0, "prose", None, t, "") for i, t in enumerate(texts)] + [(8, "annual_report", i, 1, "prose", None, t, "") for i, t in enumerate(texts)], BLOCKS)
+    for stretch in (4096, 2, 1):
+        got = {(r.doc_id, r.page_num, r.paragraph): r.text for r in scans.paragraphs(blocks, scans.Settings(stretch=stretch)).collect()}
+        assert got == {(doc, page, at + k): " ".join(texts[k:end]) for doc, page, at in ((7, 0, 4093), (8, 1, 0)) for k, end in ((0, 4), (4, 6))}
