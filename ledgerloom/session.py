@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +31,55 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which every executor reaches.
 
-    The folder is read from `spark.checkpoint.dir`; only where that is unset on a local master
-    (tests, notebooks) one of our own is used. On a cluster without it the plan is left as it is,
-    since a machine-local folder would not survive the loss of an executor.
+    Only where that is unset on a local master (tests, notebooks) one of our own is used. On a cluster
+    without it this is an error, since a machine-local folder would not survive the loss of an executor.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local[") or context.master == "local":
-            context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
-        else:
-            return df
+    context = spark.sparkContext
+    if (found := context.getCheckpointDir()) is not None:
+        return found
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not (context.master.startswith("local[") or context.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: this job cuts lineage there")
+        named = os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+    context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a Parquet table in the shared folder: compressed, and read by column.
+
+    The table is kept until the application ends or `release` is called.
+    """
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    if spark.sparkContext.applicationId not in _STORED:
+        _STORED.add(spark.sparkContext.applicationId)
+        atexit.register(release, spark)
+    return f"{shared_folder(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the application's stored tables; results that read them must have been written before."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/stored-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_STORED: set[str] = set()
