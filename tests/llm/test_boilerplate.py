@@ -11,3 +11,11 @@ def test_repeated_lines(spark):
     assert b.repeated_lines(chunks, min_chunks=7).count() == 0 and b.repeated_lines(chunks, min_share=0.9).count() == 12 and b.repeated_lines(chunks.limit(0)).count() == 0
     clean = {(r.chunk_id, r.text, r.removed) for r in b.without_lines(chunks, b.repeated_lines(chunks)).collect()}
     assert ("c1", "[Section: x]\nOwn text 1.\n", 2) in clean and ("d", line, 0) in clean and ("f", None, 0) in clean
+
+
+def test_hashes_are_independent(spark):
+    """A salt after the text would only map the first hash to the second; h2 is none of such maps."""
+    chunks = spark.createDataFrame([("c", "a", f"line {i}") for i in range(50)], "chunk_id string, symbol string, text string")
+    chained = {r.h: r.c for r in spark.range(50).selectExpr("xxhash64(concat('line ', id)) as h", "xxhash64(concat('line ', id), 7) as c").collect()}
+    hashes = {r.h1: r.h2 for r in b._lines(chunks).collect()}
+    assert set(hashes) == set(chained) and not any(hashes[h] == chained[h] for h in hashes) and len(set(hashes.values())) == 50
