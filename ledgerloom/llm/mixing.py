@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.tokens import TOKENIZERS, token_count
-from ledgerloom.session import cut
+from ledgerloom.session import cut, stored
 
 
 def temper(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -97,7 +97,7 @@ def measured(documents: DataFrame, folder: str = TOKENIZERS, idle: Column | None
     """Distinct texts with tokens: doc_id (the least of its copies, of those that aren't idle if there are any), source, tokens."""
     idle = F.lit(False) if idle is None else idle
     texts = documents.select("doc_id", F.trim("source").alias("source"), "text", idle.alias("idle")).where(F.col("source").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counted = texts.select("doc_id", "source", "idle", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), token_count(texts, "text", folder).alias("tokens"))
+    counted = texts.select("doc_id", "source", "idle", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), token_count(texts, "text", folder).alias("tokens"))
     one = counted.groupBy("h1", "h2").agg(F.min(F.struct("idle", "doc_id", "source", "tokens")).alias("d"))
     return one.select("d.doc_id", "d.source", "d.tokens").where(F.col("tokens") > 0)
 
@@ -163,14 +163,32 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return drawn, report
 
 
-def tempered_shares(documents: DataFrame, keep_entropy: float = 0.9, folder: str = TOKENIZERS) -> DataFrame:
+def _entropies(logs: DataFrame, exponents: list[float]) -> list[float]:
+    """The entropy of tempered shares at each exponent, from one aggregate over the sources' log shares (column l, at most 0)."""
+    at = logs.select("l", F.explode(F.array(*map(F.lit, exponents))).alias("x")).withColumn("v", F.exp(F.col("x") * F.col("l")))
+    sums = at.groupBy("x").agg(F.sum("v").alias("z"), F.sum(F.col("v") * F.col("l")).alias("m")).collect()  # one row per exponent
+    found = {r.x: math.log(r.z) - r.x * r.m / r.z for r in sums}
+    return [found[x] for x in exponents]
+
+
+def tempered_shares(documents: DataFrame, keep_entropy: float = 0.9, folder: str = TOKENIZERS, sections: int = 128, passes: int = 5) -> DataFrame:
     """Every source's natural token share and its share tempered to `keep_entropy` of the largest entropy.
 
-    Columns: source, tokens, natural_share, tempered_share. Only one row per source comes to the driver.
+    Columns: source, tokens, natural_share, tempered_share. The exponent is sought in [0, 8] by
+    splitting its interval into `sections` in each of `passes` aggregates over the sources, so nothing
+    that grows with the number of sources comes to the driver.
     """
-    rows = measured(documents, folder).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()
-    total = sum(r.tokens for r in rows) or 1
-    shares = {r.source: r.tokens / total for r in rows}
-    target = keep_entropy * math.log(len(shares)) if shares else 0.0
-    hot = temper(shares, exponent_for_entropy(shares, target))
-    return documents.sparkSession.createDataFrame([(r.source, int(r.tokens), shares[r.source], hot[r.source]) for r in rows], "source string, tokens bigint, natural_share double, tempered_share double")
+    per = stored(measured(documents, folder).groupBy("source").agg(F.sum("tokens").alias("tokens")))
+    whole = per.agg(F.sum("tokens").alias("total"), F.max("tokens").alias("most"), F.count("*").alias("n")).first()
+    total, most = whole.total or 1, whole.most or 1
+    low, high = 0.0, 8.0
+    logs = per.select(F.log(F.col("tokens") / F.lit(most)).alias("l"))
+    for _ in range(passes if whole.n > 1 else 0):
+        edges = [low + (high - low) * k / sections for k in range(sections + 1)]
+        above = [k for k, h in enumerate(_entropies(logs, edges)) if h > keep_entropy * math.log(whole.n)]  # entropy falls as the exponent grows
+        at = min(max(above, default=0), sections - 1)
+        low, high = edges[at], edges[at + 1]
+    exponent = (low + high) / 2
+    power = F.exp(F.lit(exponent) * F.log(F.col("tokens") / F.lit(most)))
+    norm = per.agg(F.sum(power)).first()[0] or 1.0
+    return per.select("source", F.col("tokens").cast("bigint").alias("tokens"), (F.col("tokens") / F.lit(total)).alias("natural_share"), (power / F.lit(norm)).alias("tempered_share"))

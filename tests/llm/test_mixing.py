@@ -50,3 +50,13 @@ def test_unnamed_source_takes_no_text(spark):
         goals = spark.createDataFrame([("wire", 0.2, 1), ("big", 0.8, 1), *idle], "source string, target_share double, max_repeats int")
         drawn, report = m.mix(docs, goals, total_tokens=10**9)
         assert {r.source: r.texts for r in report.collect() if r.source != "Unnamed"} == {"wire": 10, "big": 40} and {r.doc_id for r in drawn.collect()} == set(range(100, 110)) | set(range(200, 240))
+
+
+def test_tempered_shares(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(n)), f"s{n}") for i, n in enumerate((400, 90, 30, 7, 2))] + [(9, None, "none")], "doc_id bigint, text string, source string")
+    got = m.tempered_shares(docs, keep_entropy=0.9).collect()
+    natural, hot = ({r.source: r[c] for r in got} for c in ("natural_share", "tempered_share"))
+    assert len(got) == 5 and sum(hot.values()) == pytest.approx(1) and m.entropy(hot) == pytest.approx(0.9 * math.log(5), abs=1e-6)
+    want = m.temper(natural, m.exponent_for_entropy(natural, 0.9 * math.log(5)))
+    assert all(hot[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert m.tempered_shares(docs.limit(0)).count() == 0 and [r.tempered_share for r in m.tempered_shares(docs.limit(1)).collect()] == [1.0]
