@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import stored
+
 # Marks that say a text goes on elsewhere, and characters that close a sentence.
 MARKS = ("...", "…", "[...]", "[…]", "(...)", "[more]", "(more)", "...more", "[truncated]", "(truncated)", "read more", ">>")
 CLOSERS = ".!?।॥"
@@ -21,7 +24,7 @@ _PAIRS = (("(", ")"), ("[", "]"), ("“", "”"))
 
 
 class Settings(NamedTuple):
-    """sample_rows is the bound on the texts the classifier is fitted on."""
+    """sample_rows is the bound on the texts the classifier is fitted on; the features of an ending look at its last `lines` lines and, for a signature, at `signature` characters."""
 
     sample_rows: int = 8000
     buckets: int = 1 << 17
@@ -30,6 +33,8 @@ class Settings(NamedTuple):
     threshold: float = 0.5
     least_at_limit: int = 3
     seed: int = 11
+    lines: int = 8
+    signature: int = 90
 
 
 _MARK = re.compile("(?:" + "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True)) + r")\s*$", re.I)
@@ -46,11 +51,15 @@ def _shape(text: str) -> str:
     return "".join(out)
 
 
-def features(text: str, at_limit: bool) -> list[str]:
-    """What the end of a text looks like: closing characters, punctuation, its last line beside those before, and length to limit."""
+def limit_features(at_limit: bool, closed: bool, kind: str) -> list[str]:
+    return [f"limit {at_limit}", f"limit {at_limit} closed {closed}", f"limit {at_limit} kind {kind}"]
+
+
+def ending(text: str, s: Settings = Settings()) -> tuple[list[str], bool, str]:
+    """What the end of a text looks like: closing characters, punctuation and its last line beside those before; whether it is closed, and of what kind."""
     bare = text.rstrip()
     mark = _MARK.search(bare)
-    lines = [line for line in bare.rsplit("\n", 8)[-8:] if line.strip()]
+    lines = [line for line in bare.rsplit("\n", s.lines)[-s.lines :] if line.strip()]
     last = lines[-1].strip() if lines else ""
     before = lines[-2].strip() if len(lines) > 1 else ""
     words = last.split()
@@ -63,16 +72,16 @@ def features(text: str, at_limit: bool) -> list[str]:
         kind = "rowstart"
     elif re.match(r"[-*•]\s", last):
         kind = "item"
-    elif re.match(r"[—–]\s", last) or re.search(r"\s—\s[^.]*$", last[-90:]):
+    elif re.match(r"[—–]\s", last) or re.search(r"\s—\s[^.]*$", last[-s.signature :]):
         kind = "signature"
     else:
         kind = "text"
     open_pair = any(bare.count(a) > bare.count(b) for a, b in _PAIRS) or bare.count('"') % 2 == 1
     tail = words[-1] if words else ""
     out = [
-        "1", f"kind {kind}", f"mark {bool(mark)}", f"closed {closed}", f"limit {at_limit}", f"limit {at_limit} closed {closed}", f"kind {kind} closed {closed}", f"open {open_pair}",
+        "1", f"kind {kind}", f"mark {bool(mark)}", f"closed {closed}", f"kind {kind} closed {closed}", f"open {open_pair}",
         f"space {bare != text}", f"end {end if not end.isalnum() else _shape(end)}", f"broken {end == chr(0xFFFD)}", f"shape {_shape(bare[-4:])}", f"kind {kind} shape {_shape(bare[-3:])}", f"kind {kind} tail {tail.lower()}",
-        f"tail {tail.lower()}", f"tail shape {kind} {_shape(tail)}", f"limit {at_limit} kind {kind}",
+        f"tail {tail.lower()}", f"tail shape {kind} {_shape(tail)}",
     ]
     if re.search(r"\d,$", bare):
         out.append("number open")
@@ -98,7 +107,13 @@ def features(text: str, at_limit: bool) -> list[str]:
             out += [f"item same end {same}", f"item shape {_shape(' '.join(peer.split()[-3:])) == _shape(' '.join(words[-3:]))}"]
     if kind == "signature":
         out.append(f"signature {len(last.rsplit('— ', 1)[-1].split())} {_shape(tail)}")
-    return out
+    return out, closed, kind
+
+
+def features(text: str, at_limit: bool, s: Settings = Settings()) -> list[str]:
+    """The features of a text's end and of its length to the limit of its source."""
+    names, closed, kind = ending(text, s)
+    return names + limit_features(at_limit, closed, kind)
 
 
 def hashed(names: list[str], buckets: int) -> np.ndarray:
@@ -145,20 +160,29 @@ def artificial_cut(text: str, rng: np.random.Generator) -> tuple[str, bool] | No
     return cut, bool(style >= 0.2 and rng.random() < 0.5)
 
 
-def train(texts: list[str], at_limit: list[bool], s: Settings) -> np.ndarray:
+class Example(NamedTuple):
+    """What a text gives to the fit: hashed features of its end as it is, and those of its artificial cuts."""
+
+    intact: list[int] | None
+    cuts: list[list[int]]
+
+
+def example(text: str, at_limit: bool, rng: np.random.Generator, s: Settings) -> Example:
+    """A text with a mark, a broken character at its end, or at its limit without a closing character is no example."""
+    bare = text.rstrip()
+    if _MARK.search(text) or bare.endswith(chr(0xFFFD)) or (at_limit and bare.rstrip(_QUOTES)[-1:] not in CLOSERS):
+        return Example(None, [])
+    cuts = [c for _ in range(3) if (c := artificial_cut(text, rng)) is not None]
+    return Example(hashed(features(text, at_limit, s), s.buckets).tolist(), [hashed(features(*c, s), s.buckets).tolist() for c in cuts])
+
+
+def train(examples: list[Example], s: Settings) -> np.ndarray:
     """A classifier of cut texts from texts as they are, most of them intact, and artificial cuts of them.
 
-    Texts at a limit, with a mark or ending in a broken character are no examples of intact ones unless they end in a closing
-    character. After each round, texts the model itself takes for cut leave the intact examples.
+    After each round, texts the model itself takes for cut leave the intact examples.
     """
-    rng = np.random.default_rng(s.seed)
-    keep = [i for i, t in enumerate(texts) if not _MARK.search(t) and not t.rstrip().endswith(chr(0xFFFD)) and (not at_limit[i] or t.rstrip().rstrip(_QUOTES)[-1:] in CLOSERS)]
-    intact = [hashed(features(texts[i], at_limit[i]), s.buckets) for i in keep]
-    cuts = []
-    for i in keep:
-        for _ in range(3):
-            if (c := artificial_cut(texts[i], rng)) is not None:
-                cuts.append(hashed(features(*c), s.buckets))
+    intact = [np.array(e.intact, np.int64) for e in examples if e.intact is not None]
+    cuts = [np.array(c, np.int64) for e in examples for c in e.cuts]
     w = np.zeros(s.buckets, np.float32)
     for _ in range(s.rounds):
         rows = intact + cuts
@@ -171,8 +195,12 @@ def train(texts: list[str], at_limit: list[bool], s: Settings) -> np.ndarray:
     return w
 
 
-def _lengths(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.trim("source").alias("source"), "text", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).where(F.col("text").rlike(r"\S"))
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.trim("source").alias("source"), "text").where(F.col("text").rlike(r"\S"))
+
+
+def _sizes() -> tuple[Column, Column]:
+    return F.length("text").alias("chars"), F.octet_length("text").alias("bytes")
 
 
 def field_limits(documents: DataFrame, least: int = Settings().least_at_limit) -> DataFrame:
@@ -181,7 +209,7 @@ def field_limits(documents: DataFrame, least: int = Settings().least_at_limit) -
     A length is a limit if at least `least` texts have it and texts of that length, or up to three more,
     are half of all texts as long or longer. Counted over all texts, pre-aggregated by source and length.
     """
-    sizes = _lengths(documents).select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
+    sizes = _texts(documents).select("source", *_sizes()).select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
     counts = sizes.groupBy("source", "x.unit", "x.n").agg(F.count("*").alias("c"))
     w = Window.partitionBy("source", "unit").orderBy("n")
     near = F.sum("c").over(w.rangeBetween(-3, 3))
@@ -190,38 +218,64 @@ def field_limits(documents: DataFrame, least: int = Settings().least_at_limit) -
     return piled.groupBy("source", "unit").agg(F.max_by("n", F.struct("c", "n")).alias("limit"))
 
 
-def _with_limits(documents: DataFrame, s: Settings) -> DataFrame:
-    limits = field_limits(documents, s.least_at_limit).groupBy("source").agg(F.max(F.when(F.col("unit") == "chars", F.col("limit"))).alias("char_limit"), F.max(F.when(F.col("unit") == "bytes", F.col("limit"))).alias("byte_limit"))
-    stripped = F.length(F.rtrim(F.regexp_replace("text", r"\s+$", "")))
-    in_chars = (stripped <= F.col("char_limit")) & (F.col("char_limit") <= F.col("chars"))
+def _at_limit(sized: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows of source, chars, bytes and stripped (characters before outer white space at the end), without their text, and whether they are at their source's limit."""
+    in_chars = (F.col("stripped") <= F.col("char_limit")) & (F.col("char_limit") <= F.col("chars"))
     in_bytes = F.abs(F.col("bytes") - F.col("byte_limit")) <= 3
-    docs = _lengths(documents)
-    return docs.join(limits.withColumnRenamed("source", "limit_source"), F.col("source") == F.col("limit_source"), "left").select("doc_id", "source", "text", (F.coalesce(in_chars, F.lit(False)) | F.coalesce(in_bytes, F.lit(False))).alias("at_limit"))
+    joined = sized.join(limits.withColumnRenamed("source", "limit_source"), F.col("source") == F.col("limit_source"), "left")
+    return joined.withColumn("at_limit", F.coalesce(in_chars, F.lit(False)) | F.coalesce(in_bytes, F.lit(False))).drop("limit_source", "char_limit", "byte_limit", "chars", "bytes", "stripped")
+
+
+_EXAMPLES = T.StructType([T.StructField(n, T.StructType([T.StructField("intact", T.ArrayType(T.IntegerType())), T.StructField("cuts", T.ArrayType(T.ArrayType(T.IntegerType())))])) for n in ("free", "full")] + [T.StructField("stripped", T.IntegerType())])
+_ENDING = T.StructType([T.StructField("free", T.DoubleType()), T.StructField("full", T.DoubleType()), T.StructField("stripped", T.IntegerType())])
 
 
 def truncation_scores(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, source and probability of being cut off, of every document with a text.
 
     NULL, empty and blank texts give no row; a NULL source has no limit of its own; repeated rows count
-    once by doc_id; extra columns are ignored; with no texts there is no row.
-
-    The classifier is fitted on at most sample_rows texts (least hashes of doc_id), the only rows that
-    come to the driver; limits are counted over all texts, and every text is scored in whole in Arrow
-    batches. The weights (buckets * 4 bytes) are broadcast.
+    once by doc_id (of different rows of one doc_id the least source and probability hold); extra
+    columns are ignored; with no texts there is no row.
+
+    The classifier is fitted on at most sample_rows texts, those with the least hashes of doc_id. Their
+    features are hashed on the executors, so what comes to the driver doesn't grow with the length of
+    texts. Limits are counted over all texts, and every text is scored in whole in Arrow batches, both
+    for a text at its limit and for one that isn't; only these two numbers and the lengths meet the
+    limits of the sources, so no text is ever shuffled. The weights (buckets * 4 bytes) are broadcast.
     """
-    ready = _with_limits(documents, s)
-    sample = ready.select("text", "at_limit", F.xxhash64("doc_id", F.lit(s.seed)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(s.sample_rows).toPandas()
-    w = train(list(sample["text"]), [bool(x) for x in sample["at_limit"]], s)
+    limit = lambda unit: F.max(F.when(F.col("unit") == unit, F.col("limit")))
+    limits = stored(field_limits(documents, s.least_at_limit).groupBy("source").agg(limit("chars").alias("char_limit"), limit("bytes").alias("byte_limit")))
+    texts = _texts(documents).withColumn("h", F.xxhash64(F.lit(s.seed), "doc_id"))
+    first = texts.select("h").distinct().orderBy("h").limit(s.sample_rows).agg(F.max("h")).first()[0]
+
+    @F.pandas_udf(_EXAMPLES)
+    def examples(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for hashes, batch in batches:
+            both = lambda h, t: [example(t, at, np.random.default_rng(h & (1 << 63) - 1), s)._asdict() for at in (False, True)]
+            yield pd.DataFrame([(*both(int(h), t), len(t.rstrip())) for h, t in zip(hashes, batch)], columns=["free", "full", "stripped"])
+
+    known = _at_limit(texts.where(F.col("h") <= F.lit(first)).select("h", "doc_id", "source", *_sizes(), examples("h", "text").alias("e")).select("h", "doc_id", "source", "chars", "bytes", "e.*"), limits)
+    sample = known.select("h", "doc_id", F.when(F.col("at_limit"), F.col("full")).otherwise(F.col("free")).alias("e")).orderBy("h", "doc_id", "e").limit(s.sample_rows).toPandas()
+    w = train([Example(e["intact"], e["cuts"]) for e in sample["e"]], s)
     shared = documents.sparkSession.sparkContext.broadcast(w)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_ENDING)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights = shared.value
-        for texts, limits in batches:
-            z = np.array([weights[hashed(features(t, bool(a)), s.buckets)].sum() for t, a in zip(texts, limits)], dtype=np.float64)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-    return ready.select("doc_id", "source", score("text", "at_limit").alias("p")).dropDuplicates(["doc_id"])
+        extra = lru_cache(256)(lambda at, closed, kind: weights[hashed(limit_features(at, closed, kind), s.buckets)])
+        for batch in batches:
+            rows = []
+            for t in batch:
+                names, closed, kind = ending(t, s)
+                own = {zlib.crc32(n.encode()) % s.buckets for n in names}
+                z = weights[list(own)].sum(dtype=np.float64)
+                rows.append((z + extra(False, closed, kind).sum(dtype=np.float64), z + extra(True, closed, kind).sum(dtype=np.float64), len(t.rstrip())))
+            yield pd.DataFrame(rows, columns=["free", "full", "stripped"])
+
+    scored = _at_limit(texts.select("doc_id", "source", *_sizes(), score("text").alias("z")).select("doc_id", "source", "chars", "bytes", "z.*"), limits)
+    p = 1 / (1 + F.exp(-F.when(F.col("at_limit"), F.col("full")).otherwise(F.col("free"))))
+    one = scored.select("doc_id", F.struct("source", p.alias("p")).alias("d")).groupBy("doc_id").agg(F.min("d").alias("d"))
+    return one.select("doc_id", "d.source", "d.p")
 
 
 def truncated(scores: DataFrame, threshold: float = Settings().threshold) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from ledgerloom.llm import truncation as t
@@ -9,8 +11,8 @@ def test_held_out_cuts(spark):
     """Fitted on half of the texts, tested on artificial cuts and intact ends of the other half."""
     docs = spark.read.parquet(SMALL).where("text is not null").select("doc_id", "text").orderBy("doc_id").toPandas()
     texts = [x for x in docs.text if len(x) > 60]
-    w = t.train(texts[::2], [False] * len(texts[::2]), t.Settings())
     rng, s = np.random.default_rng(3), t.Settings()
+    w = t.train([t.example(x, False, rng, s) for x in texts[::2]], s)
     intact = [x for x in texts[1::2] if x.rstrip().endswith((".", "।"))]
     cut = [c for x in texts[1::2] for _ in range(3) if (c := t.artificial_cut(x, rng))]
     flagged = lambda x, at: w[t.hashed(t.features(x, at), s.buckets)].sum() > 0
@@ -32,3 +34,18 @@ def test_limits_scores_and_rates(spark):
     rates = {r.source: r for r in t.truncation_rates(scores).collect()}
     assert rates["free"].documents == 151 and rates["short"].rate > 0.3 and 5000 not in {r.doc_id for r in scores.collect()}
     assert t.truncation_scores(docs.limit(0)).count() == 0
+
+
+def test_no_text_is_shuffled_or_collected(spark, capsys):
+    """Neither plan has a text below an exchange, and what the fit collects doesn't grow with the texts."""
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat(concat('Revenue grew in market ', id, '. '), 5) as text")
+    t.truncation_scores(docs).explain("formatted")
+    exchanged = re.findall(r"\) Exchange\n(?:Input|Output)[^\n]*", capsys.readouterr().out)
+    assert exchanged and not any("text#" in x for x in exchanged)
+    sizes = []
+    for times in (1, 10):
+        longer = docs.selectExpr("doc_id", "source", f"repeat(text, {times}) as text")
+        text = longer.first().text
+        e = t.example(text, False, np.random.default_rng(1), t.Settings())
+        sizes.append(len(e.intact) + sum(map(len, e.cuts)))
+    assert sizes[1] < 1.5 * sizes[0]
