@@ -10,7 +10,7 @@ of its common unit.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, wraps
 from typing import NamedTuple
 
 # The lexicon, by kind. A scale or root is (spelling, value).
@@ -54,7 +54,7 @@ FILLERS = (
 #: The dimension of each common unit, and what one common unit is worth in the dimension's base.
 COMMON = {"crore": ("money", 1e7), "rs": ("money", 1.0), "%": ("ratio", 0.01), "x": ("ratio", 1.0), "days": ("time", 1.0)}
 
-LEXEME_COST, FILLER_COST, UNKNOWN_COST, OFF_DIMENSION_COST = 1.0, 0.6, 4.0, 2.5
+LEXEME_COST, FILLER_COST, UNKNOWN_COST, OFF_DIMENSION_COST, GAIN = 1.0, 0.6, 4.0, 2.5, 2.0
 
 
 class Lexeme(NamedTuple):
@@ -110,6 +110,11 @@ def normal(text: str) -> str:
     return _SPACE.sub(" ", text.replace("’", "'").replace("‘", "'").replace("`", "'")).strip().lower()
 
 
+def flat(text: str) -> str:
+    """A sentence as the trie reads it, with every character in its place."""
+    return "".join(" " if c.isspace() else "'" if c in "’‘`" else low if len(low := c.lower()) == 1 else c for c in text)
+
+
 def _matches(text: str, at: int) -> list[tuple[int, Lexeme]]:
     """Lexemes that start at `at` and end at a word's end."""
     found, node, i = [], TRIE, at
@@ -133,40 +138,62 @@ def _cost(lexeme: Lexeme, dimension: str) -> float:
     return LEXEME_COST if fits else LEXEME_COST + OFF_DIMENSION_COST
 
 
-def segment(text: str, dimension: str) -> tuple[list[Lexeme], int]:
-    """The cheapest segmentation of `text`: its lexemes in order and the number of characters left over.
+def segment(text: str, dimension: str, at: int = 0, open_end: bool = False) -> tuple[list[Lexeme], int]:
+    """The cheapest segmentation of `text` from `at` on: its lexemes in order and the number of characters left over.
 
     Ties go to the segmentation with fewer lexemes, then to the one found with the longer last lexeme.
+
+    With an open end the text goes on after the unit, as in a sentence. Then no character may be left
+    over inside, and the segmentation ends wherever that is cheapest, each lexeme of the field's
+    dimension being worth GAIN: so fillers count only between or before such lexemes. Only the reach of
+    the lexemes is walked, however long the text is.
     """
-    n = len(text)
-    best: list[tuple[float, int, int, int, Lexeme | None]] = [(0.0, 0, 0, 0, None)] + [(float("inf"), 0, 0, 0, None)] * n
-    for i in range(n):
-        cost, count, unknown, _, _ = best[i]
-        if cost == float("inf"):
-            continue
-        options = [(i + 1, (0.0 if text[i] in _SEPARATORS else UNKNOWN_COST), None)]
-        options += [(j, _cost(lexeme, dimension), lexeme) for j, lexeme in _matches(text, i)]
-        for j, step, lexeme in options:
-            left = unknown + (lexeme is None and text[i] not in _SEPARATORS)
-            new = (cost + step, count + (lexeme is not None), left, i, lexeme)
-            if new[:2] < best[j][:2]:
-                best[j] = new
-    lexemes, i = [], n
-    while i > 0:
+    best: dict[int, tuple[float, int, int, int, Lexeme | None]] = {at: (0.0, 0, 0, at, None)}
+    ends: list[int] = [at]
+    n, i = len(text), at
+    while i < n:
+        if i in best:
+            cost, count, unknown, _, _ = best[i]
+            if open_end:
+                bridge = text[i] == " " or (text[i] in "./-'" and text[i + 1 : i + 2].isalpha())
+                options = [(i + 1, 0.0, None)] if bridge else []
+                for j, lexeme in _matches(text, i):
+                    step = _cost(lexeme, dimension)
+                    if step <= LEXEME_COST and not (lexeme.kind == "money" and text[j:].lstrip(" ")[:1].isdigit()) and not text[j : j + 1].isdigit():
+                        options.append((j, step if lexeme.kind == "filler" else step - GAIN, lexeme))
+            else:
+                options = [(i + 1, (0.0 if text[i] in _SEPARATORS else UNKNOWN_COST), None)]
+                options += [(j, _cost(lexeme, dimension), lexeme) for j, lexeme in _matches(text, i)]
+            for j, step, lexeme in options:
+                left = unknown + (lexeme is None and text[i] not in _SEPARATORS and not open_end)
+                new = (cost + step, count + (lexeme is not None), left, i, lexeme)
+                if j not in best or new[:2] < best[j][:2]:
+                    best[j] = new
+                    ends.append(j)
+        elif open_end and i >= max(ends):
+            break
+        i += 1
+    end = min(ends, key=lambda j: (best[j][0], best[j][1], j)) if open_end else n
+    lexemes, i = [], end
+    while i > at:
         _, _, _, before, lexeme = best[i]
         if lexeme is not None:
             lexemes.append(lexeme)
         i = before
-    return lexemes[::-1], best[n][2]
+    return lexemes[::-1], best[end][2]
 
 
-@lru_cache(maxsize=200_000)
+def _remembered(read):
+    """Keeps the readings of short strings; long ones, which hardly come again, would only fill the memory."""
+    kept = lru_cache(maxsize=200_000)(read)
+    return wraps(read)(lambda text, dimension: kept(text, dimension) if not text or len(text) <= 200 else read(text, dimension))
+
+
+@_remembered
 def read_unit(text: str | None, dimension: str) -> Reading:
     """The reading of a string that names nothing but a unit; residue is true where it says more."""
     if not text or not (text := normal(text)):
         return Reading()
-    if len(text) > 120:
-        return Reading(residue=True)
     lexemes, left = segment(text, dimension)
     if left:
         return Reading(residue=True)
@@ -195,50 +222,51 @@ def combine(lexemes: list[Lexeme], dimension: str) -> Reading:
     return Reading(scale, currency, root)
 
 
-_SUFFIX = (
-    re.compile(r"^.*?\S\s*[(\[]\s*(.+)[)\]]\s*$", re.S),
-    re.compile(r"^.*\S\s*,\s*(.+)$", re.S),
-    re.compile(r"^.*\S\s+[-–—]\s+(.+)$", re.S),
-    re.compile(r"^.*?\S\s+in\s+(.+)$", re.S | re.I),
-)
+_JOINT = re.compile(r"[(\[,]|(?<=\s)[-–—](?=\s)|(?<=\s)in(?=\s)", re.I)
 
 
-@lru_cache(maxsize=200_000)
+@_remembered
 def read_label(label: str | None, dimension: str) -> Reading:
-    """The unit a field's label ends with: in brackets, or after a comma, a dash or "in"."""
-    if not label or len(label) > 400:
-        return Reading()
-    for pattern in _SUFFIX:
-        if (m := pattern.match(label)) and not (r := read_unit(m.group(1), dimension)).residue and not r.empty:
-            return r
-    return Reading()
+    """The unit a field's label ends with: in brackets, or after a comma, a dash or "in".
+
+    The longest end that names nothing but a unit counts, sought from the label's end until it says more.
+    """
+    found = Reading()
+    if not label:
+        return found
+    bare = label.rstrip()
+    closed = bare.endswith((")", "]"))
+    for m in reversed(list(_JOINT.finditer(bare))):
+        if not bare[: m.start()].strip():
+            break
+        if m.group() in "([" and not closed:
+            break
+        reading = read_unit(bare[m.end() :], dimension)
+        if reading.residue:
+            break
+        if not reading.empty:
+            found = reading
+    return found
 
 
 _NUMBER = r"\d[\d,]*(?:\.\d+)?|\.\d+"
 _NUMBERS = re.compile(_NUMBER)
 _RANGE = re.compile(rf"\s*(?:-|–|—|to|and)\s*(?:₹|rs\.?|inr|us\$|usd|\$|€|eur|euro)?\s*(?:{_NUMBER})", re.I)
-_BEFORE = re.compile(r"(₹|\brs\.?|\binr|us\$|\busd|\$|€|\beuros?|\beur|\brupees?)\s*$", re.I)
-
-
-def _tail(text: str, at: int, dimension: str) -> list[Lexeme]:
-    """The lexemes that stand right after a number, up to the first word that is none."""
-    lexemes: list[Lexeme] = []
-    while at < len(text):
-        if text[at] == " " or (text[at] in "./-'" and at + 1 < len(text) and text[at + 1].isalpha()):
-            if text[at] != "'" or not _matches(text, at):
-                at += 1
-                continue
-        found = [(j, x) for j, x in _matches(text, at) if j == len(text) or not text[j].isdigit()]
-        if not found:
-            break
-        j, lexeme = min(found, key=lambda f: (_cost(f[1], dimension) - 0.2 * (f[0] - at), -f[0]))
-        if lexeme.kind == "filler" and not any(x.kind != "filler" for x in lexemes) and lexemes:
-            break
-        if lexeme.kind != "filler" and _cost(lexeme, dimension) > LEXEME_COST:
-            break
-        lexemes.append(lexeme)
-        at = j
-    return lexemes
+_SYMBOLS = {text: currency for text, (currency, value) in CURRENCIES.items() if value == 1.0}
+_LONGEST = max(map(len, _SYMBOLS))
+
+
+def _currency_before(text: str, at: int) -> Lexeme | None:
+    """The currency that stands right before a number."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    if at > 1 and text[at - 1] == "." and text[at - 2].isalpha():
+        at -= 1
+    for n in range(min(_LONGEST, at), 0, -1):
+        word = text[at - n : at].lower()
+        if word in _SYMBOLS and not (at > n and word[0].isalpha() and text[at - n - 1].isalnum()):
+            return Lexeme("money", 1.0, _SYMBOLS[word])
+    return None
 
 
 def read_figure(text: str | None, figure: float | None, dimension: str) -> Reading:
@@ -249,6 +277,7 @@ def read_figure(text: str | None, figure: float | None, dimension: str) -> Readi
     """
     if not text or figure is None or figure != figure:
         return Reading()
+    lowered = flat(text)
     for m in _NUMBERS.finditer(text):
         digits = m.group().rstrip(",").replace(",", "")
         if digits in ("", ".") or abs(float(digits) - abs(figure)) > 1e-9 * max(1.0, abs(figure)):
@@ -258,10 +287,9 @@ def read_figure(text: str | None, figure: float | None, dimension: str) -> Readi
             continue
         if r := _RANGE.match(text, end):
             end = r.end()
-        rest = normal(text[end : end + 60].replace("\n", " "))
-        lexemes = _tail(rest, 0, dimension)
-        if b := _BEFORE.search(text[max(0, m.start() - 12) : m.start()]):
-            lexemes = [x for _, x in _matches(normal(b.group(1)).rstrip("."), 0) if x.kind == "money"][:1] + lexemes
+        lexemes, _ = segment(lowered, dimension, end, open_end=True)
+        if b := _currency_before(text, m.start()):
+            lexemes = [b] + lexemes
         reading = combine(lexemes, dimension)
         if not reading.residue and not reading.empty:
             return reading

@@ -58,7 +58,7 @@ def named_units(metric_rows: DataFrame, claims: DataFrame, metric_units: DataFra
 
     Repeated rows (same id) count once; NULL figures, ids and unknown sub_types give no row, NULL or
     empty unit fields say nothing; extra columns are ignored; empty inputs give an empty result.
-    Strings over 120 characters are no unit names.
+    Unit strings, labels, notes and sentences are read whole, however long they are.
 
     The tables are only scanned and joined with the unit table, which is small enough for Spark's own
     size check to broadcast; the segmentation runs in Arrow batches with a cache per worker, so the

@@ -35,6 +35,22 @@ def test_figures_in_sentences(text, figure, common, expected):
     assert (None if value is None else pytest.approx(value)) == expected[0] and currency == expected[1]
 
 
+def test_nothing_is_too_long_to_be_read():
+    assert g.factor([g.read_unit("figures in " * 50 + "Rs lakh", "money")], "crore") == (pytest.approx(0.01), "INR")
+    assert g.read_label("Revenue from operations of the group " * 6 + "in the home market, in Rs lakh", "money") == g.Reading(1e5, "INR")
+    assert g.read_label("Revenue, USD in millions", "money") == g.Reading(1e6, "USD") and g.read_label("(in crore)", "money").empty
+    long = "Growth was steady in the home market. " * 30
+    assert g.read_figure(long + "Revenue was US dollars      41.5" + " " * 90 + "million." + long, 41.5, "money") == g.Reading(1e6, "USD")
+    assert g.read_figure("Rs 60 crore and $ 5 million", 60.0, "money") == g.Reading(1e7, "INR")
+
+
+def test_sentences_are_segmented_like_unit_strings():
+    """The words after a figure go through the same segmentation, whose end is open."""
+    assert [x.value for x in g.segment("4 lakh crore in all", "money", 1, open_end=True)[0]] == [1e5, 1e7]
+    assert g.segment("4 of the per share in", "money", 1, open_end=True)[0] == [] and g.segment("5 m away", "time", 1, open_end=True)[0][0].value == 30.0
+    assert g.segment("5 m away", "money", 1, open_end=True)[0][0].value == 1e6 and g.segment("5 days late", "money", 1, open_end=True)[0] == []
+
+
 def test_fields_complete_each_other():
     d = "money"
     assert g.factor([g.read_unit("INR", d), g.read_label("Revenue in Cr", d)], "crore") == (1.0, "INR")
