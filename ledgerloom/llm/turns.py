@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import stored
+
 # Hesitations, sound annotations, titles, words of continuation and names of the moderator's part.
 HESITATIONS = ("um", "umm", "ummm", "uh", "uhh", "uhm", "er", "err", "erm", "ah", "ahh", "hm", "hmm", "hmmm", "mm", "mhm", "eh")
 PHRASES = ("i mean", "sort of", "kind of", "you know")
@@ -32,7 +34,7 @@ DOUBLED = ("that", "had")
 TIME = re.compile(r"\[\s*\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?\s*\]|\(\s*\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?\s*\)|<\s*\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?\s*>|\b\d{1,2}:\d{2}:\d{2}(?:\.\d+)?\b|\b\d{1,3}m\d{2}s\b")
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d+", re.U)
 _LETTERS = re.compile(r"[^\W\d_]+", re.U)
-_LABEL = re.compile(r"^[ \t]*([^:\n]{1,120}?(?:\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?[^:\n]{1,120}?)?)[ \t]*:(?=\s|$)", re.M)
+_LABEL = re.compile(r"^[ \t]*([^:\n]+?(?:\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?[^:\n]+?)?)[ \t]*:(?=\s|$)", re.M)
 _OPEN, _CLOSE = "[(<*{", "])>*}"
 
 
@@ -194,6 +196,12 @@ class Call:
                 for kind, k in uses:
                     hits[k].add(kind)
         rest = [w for i, w in enumerate(words) if i not in explained]
+        if strict:
+            for w in rest:
+                close = any(near(w, n) <= (2 if len(n) >= 8 else 1) for p in self.people for n in (p.first, p.last) if len(n) > 3 and len(w) > 3)
+                known = any(w in p.designation or w in p.firm for p in self.people)
+                if not (close or known or (len(w) == 1 and any(p.first.startswith(w) for p in self.people))):
+                    return None
         for k, p in enumerate(self.people):
             for kind, weight in (("last", 2.0), ("first", 1.5)):
                 if kind in hits[k]:
@@ -206,12 +214,6 @@ class Call:
                 elif kind == "first" and named[k] and any(len(w) == 1 and name.startswith(w) for w in words):
                     named[k] += 0.5
             score[k] = named[k] + (0.4 if "designation" in hits[k] else 0.0) + (0.3 if "firm" in hits[k] else 0.0)
-        if strict:
-            for w in rest:
-                close = any(near(w, n) <= (2 if len(n) >= 8 else 1) for p in self.people for n in (p.first, p.last) if len(n) > 3 and len(w) > 3)
-                known = any(w in p.designation or w in p.firm for p in self.people)
-                if not (close or known or (len(w) == 1 and any(p.first.startswith(w) for p in self.people))):
-                    return None
         return self._best(named, score) if any(named) else self._best([1.0 if s else 0.0 for s in score], score)
 
     def _best(self, named: list[float], score: list[float]) -> int | None:
@@ -293,16 +295,18 @@ STRETCH = 4096
 
 
 def spoken(page_blocks: DataFrame, participants: DataFrame) -> DataFrame:
-    """Everything said, in parts: doc_id, block_index, part, pid (NULL without a label, -1 for someone unknown), text."""
-    blocks = (
-        page_blocks.select("doc_id", "block_index", F.lower(F.trim("doc_type")).alias("doc_type"), F.lower(F.trim("block_type")).alias("block_type"), "text", "speaker")
-        .where((F.col("doc_type") == "concall") & (F.coalesce("block_type", F.lit("")) != "section_header") & F.col("doc_id").isNotNull() & F.col("block_index").isNotNull() & F.col("text").isNotNull())
-    )
+    """Everything said, in parts: doc_id, block_index, part, pid (NULL without a label, -1 for someone unknown), text.
+
+    Repeated rows count once; of different rows with one (doc_id, block_index) the one with the least text and speaker holds.
+    """
+    own = page_blocks.select("doc_id", "block_index", F.lower(F.trim("doc_type")).alias("doc_type"), F.lower(F.trim("block_type")).alias("block_type"), "text", "speaker")
+    own = own.where((F.col("doc_type") == "concall") & (F.coalesce("block_type", F.lit("")) != "section_header") & F.col("doc_id").isNotNull() & F.col("block_index").isNotNull() & F.col("text").isNotNull())
+    blocks = own.groupBy("doc_id", "block_index").agg(F.min(F.struct("text", "speaker")).alias("b")).select("doc_id", "block_index", "b.*")
     parts = blocks.join(people_of_calls(participants), "doc_id", "left").select("doc_id", "block_index", F.posexplode(_segments("speaker", "text", "people")).alias("part", "s"))
-    return parts.select("doc_id", "block_index", "part", "s.pid", "s.text").dropDuplicates(["doc_id", "block_index", "part"])
+    return parts.select("doc_id", "block_index", "part", "s.pid", "s.text")
 
 
-def turns(page_blocks: DataFrame, participants: DataFrame) -> DataFrame:
+def turns(page_blocks: DataFrame, participants: DataFrame, with_text: bool = True) -> DataFrame:
     """Every part said with its turn: doc_id, block_index, part, text, pid, starts, turn (block and part where it began).
 
     A part without a label goes on with the person before; parts with no words but hesitations and
@@ -310,9 +314,11 @@ def turns(page_blocks: DataFrame, participants: DataFrame) -> DataFrame:
     turn. Parts before the first label have no person.
 
     The label before a part is carried forward in two steps, within stretches of STRETCH blocks and
-    over the stretches' last labels, so that a call of any length is never one task's group.
+    over the stretches' last labels, so that a call of any length is never one task's group. Blocks are
+    matched once; their parts are written to the shared folder and read for both steps.
     """
-    parts = spoken(page_blocks, participants).withColumn("stretch", F.expr(f"block_index div {STRETCH}"))
+    said = spoken(page_blocks, participants)
+    parts = stored(said if with_text else said.drop("text")).withColumn("stretch", F.expr(f"block_index div {STRETCH}"))
     place = F.struct("block_index", "part")
     ends = parts.where(F.col("pid").isNotNull()).groupBy("doc_id", "stretch").agg(F.max_by("pid", place).alias("last_pid"))
     later = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -323,21 +329,27 @@ def turns(page_blocks: DataFrame, participants: DataFrame) -> DataFrame:
     return (
         parts.join(into, ["doc_id", "stretch"]).withColumn("before", before).withColumn("person", now)
         .withColumn("starts", F.col("person").isNotNull() & ~F.col("person").eqNullSafe(F.col("before")))
-        .select("doc_id", "stretch", "block_index", "part", "text", F.col("person").alias("pid"), "starts")
+        .select("doc_id", "stretch", "block_index", "part", *(["text"] if with_text else []), F.col("person").alias("pid"), "starts")
     )
 
 
 def clean_turns(page_blocks: DataFrame, participants: DataFrame) -> DataFrame:
-    """One row per turn: doc_id, turn_start (block_index), part, participant_id, blocks, text in order."""
+    """One row per turn: doc_id, turn_start (block_index), part, participant_id, blocks, text in order.
+
+    What someone says who isn't among the participants, and what comes before the first label, are turns
+    too, with a NULL participant_id, so that no speech is lost.
+    """
     said = turns(page_blocks, participants)
     start = F.when(F.col("starts"), F.struct("block_index", "part"))
     within = said.groupBy("doc_id", "stretch").agg(F.max(start).alias("last_start"))
     later = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     into = within.withColumn("carried_start", F.last("last_start", ignorenulls=True).over(later)).select("doc_id", "stretch", "carried_start")
     w = Window.partitionBy("doc_id", "stretch").orderBy("block_index", "part").rowsBetween(Window.unboundedPreceding, 0)
-    placed = said.where(F.col("pid") >= 0).join(into, ["doc_id", "stretch"]).withColumn("turn", F.coalesce(F.last(start, ignorenulls=True).over(w), F.col("carried_start")))
+    placed = said.join(into, ["doc_id", "stretch"]).withColumn("turn", F.coalesce(F.last(start, ignorenulls=True).over(w), F.col("carried_start")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "part", "text"))), lambda x: x["text"]), " ")
-    return placed.groupBy("doc_id", "turn", "pid").agg(text.alias("text"), F.countDistinct("block_index").alias("blocks")).select("doc_id", F.col("turn.block_index").alias("turn_start"), F.col("turn.part").alias("part"), F.col("pid").alias("participant_id"), "blocks", "text")
+    whole = placed.groupBy("doc_id", "turn", "pid").agg(text.alias("text"), F.countDistinct("block_index").alias("blocks"), F.min(F.struct("block_index", "part")).alias("first"))
+    began = F.coalesce("turn", "first")
+    return whole.select("doc_id", began["block_index"].alias("turn_start"), began["part"].alias("part"), F.when(F.col("pid") >= 0, F.col("pid")).alias("participant_id"), "blocks", "text")
 
 
 def named_people(page_blocks: DataFrame, chunks: DataFrame, participants: DataFrame) -> DataFrame:
@@ -348,7 +360,7 @@ def named_people(page_blocks: DataFrame, chunks: DataFrame, participants: DataFr
     letters wrong; a label that fits two people of a call equally names nobody. NULL texts, speakers,
     documents and places, and documents without participants, give no rows; repeated rows count once.
     """
-    began = turns(page_blocks, participants).where(F.col("starts") & (F.col("pid") >= 0)).select(F.lit("page_blocks").alias("source_table"), "doc_id", F.col("block_index").alias("item_no"), F.col("pid").alias("participant_id"))
+    began = turns(page_blocks, participants, with_text=False).where(F.col("starts") & (F.col("pid") >= 0)).select(F.lit("page_blocks").alias("source_table"), "doc_id", F.col("block_index").alias("item_no"), F.col("pid").alias("participant_id"))
     lists = chunks.select("doc_id", "chunk_index", "speaker").where(F.col("doc_id").isNotNull() & F.col("chunk_index").isNotNull() & (F.trim("speaker") != "")).distinct()
     listed = lists.join(people_of_calls(participants), "doc_id").select(F.lit("chunks").alias("source_table"), "doc_id", F.col("chunk_index").alias("item_no"), F.explode(_listed("speaker", "people")).alias("participant_id"))
     return began.unionByName(listed).distinct()

@@ -49,6 +49,27 @@ def test_turns_and_lists(spark):
     chunks = spark.createDataFrame([(1, 0, "CEO; Ravi Kumar"), (1, 0, "CEO; Ravi Kumar"), (1, 1, None), (1, 2, "  "), (None, 3, "CEO"), (5, 1, "CEO")], "doc_id int, chunk_index int, speaker string")
     got = {tuple(r) for r in t.named_people(blocks(spark), chunks, people(spark)).collect()}
     assert got == {("page_blocks", 1, 2, 4), ("page_blocks", 1, 4, 1), ("page_blocks", 1, 9001, 1), ("chunks", 1, 0, 1), ("chunks", 1, 0, 3)}
-    text = {(r.turn_start, r.participant_id): (r.text, r.blocks) for r in t.clean_turns(blocks(spark), people(spark)).collect()}
-    assert text == {(2, 4): ("Welcome all. More from the operator.", 2), (4, 1): ("Thank you. Still me.", 2), (9001, 1): ("Back again.", 1)}
+    text = {(r.turn_start, r.participant_id): (r.text, r.blocks) for r in t.clean_turns(blocks(spark), people(spark)).where("doc_id = 1").collect()}
+    assert text == {(1, None): ("Unlabelled before anyone.", 1), (2, 4): ("Welcome all. More from the operator.", 2), (4, 1): ("Thank you. Still me.", 2), (7, None): ("Who am I?", 1), (9001, 1): ("Back again.", 1)}
     assert t.named_people(blocks(spark).limit(0), chunks.limit(0), people(spark).limit(0)).count() == 0
+
+
+def test_no_speech_is_lost(spark):
+    """Every part that is said is in exactly one turn, whoever says it; documents without participants too."""
+    said = sum(len(r.text.split()) for r in t.spoken(blocks(spark), people(spark)).collect())
+    turns = t.clean_turns(blocks(spark), people(spark)).collect()
+    assert sum(len(r.text.split()) for r in turns) == said and {r.participant_id for r in turns if r.doc_id == 2} == {None}
+
+
+def test_labels_of_any_length():
+    call = t.Call(PEOPLE)
+    label = "Anita Mehta, " + "Chief Executive Officer, Acme Limited, " * 8
+    assert len(label) > 200 and [who for who, _ in call.segments(None, f"Before.\n{label}: Thank you.\nVikram Shah: Yes.")] == [None, 1, 2]
+    assert [who for who, _ in call.segments(None, "As all of us said " * 30 + ": nobody is named.")] == [None]
+
+
+def test_rows_that_differ_in_one_place(spark):
+    rows = [(1, "concall", 1, 1, "speaker_turn", text, who, None, "") for text, who in (("B said.\nAnita Mehta: C said.", "Operator"), ("A said.", "Vikram Shah"))]
+    for given in (rows, rows[::-1]):
+        got = t.clean_turns(spark.createDataFrame(given, BLOCKS).repartition(2), people(spark)).collect()
+        assert [(r.participant_id, r.text) for r in got] == [(2, "A said.")]
