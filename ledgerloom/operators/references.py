@@ -74,30 +74,60 @@ def _reason(at: str = "at") -> Column:
 _KEY = ["child_table", "ref_field", "key"]
 
 
+class Suspects(NamedTuple):
+    """Pre-aggregated references (key, month, n, first and last time) that may be orphans, with what is known of their key."""
+
+    heavy: DataFrame
+    rest: DataFrame
+
+
+def suspects(refs: DataFrame, facts: DataFrame, heavy_share: float = 0.001) -> Suspects:
+    """References are counted per key and month, with partial aggregation before the shuffle; only these counts meet the parents.
+
+    Keys with more than `heavy_share` of all references are heavy; there can be no more than
+    1 / heavy_share of them, which bounds what is broadcast whatever the data. Their facts are broadcast;
+    the counts of all other keys go through a shuffle join, in which no key has more than its share.
+    """
+    counted = refs.groupBy(*_KEY, F.date_trunc("month", "at").alias("month")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    per_key = counted.groupBy(*_KEY).agg(F.sum("n").alias("n"))
+    total = per_key.agg(F.sum("n").alias("total")).first()["total"] or 0
+    heavy = per_key.where(F.col("n") > max(1.0, heavy_share * total)).select(*_KEY)
+    facts_of_heavy = F.broadcast(heavy.join(facts, _KEY, "left").withColumn("heavy", F.lit(True)))
+    marked = counted.join(facts_of_heavy, _KEY, "left")
+    known = marked.where(F.col("heavy")).drop("heavy")
+    rest = marked.where(F.col("heavy").isNull()).select(*counted.columns).join(facts, _KEY, "left")
+    may = ~F.coalesce("there", F.lit(False)) | F.coalesce(F.col("since") > F.col("first"), F.lit(False))
+    return Suspects(known.where(may), rest.where(may))
+
+
 def orphans(refs: DataFrame, facts: DataFrame, heavy_share: float = 0.001) -> DataFrame:
     """Every orphan reference: child_table, ref_field, child_id, at, reason.
 
-    References are first counted per key and month, with partial aggregation before the shuffle. Keys
-    with more than `heavy_share` of all references are heavy; there can be no more than
-    1 / heavy_share of them, which bounds what is broadcast whatever the data. Rows with a heavy key
-    meet their facts in a broadcast join and are never shuffled by key; the others go through a
-    shuffle join, in which no key has more than its share; both are united.
+    The keys that the pre-aggregated references (`suspects`) don't find in time are joined back to the
+    rows: heavy ones broadcast, so that rows with a heavy key are never shuffled by key, the others by a
+    shuffle join; both are united.
 
     NULL keys refer to nothing; a NULL time is never late; repeated rows count once; empty tables
     give no rows (without parents every reference is missing).
     """
-    counted = refs.groupBy(*_KEY, F.date_trunc("month", "at").alias("month")).agg(F.count("*").alias("n"))
-    per_key = counted.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-    total = per_key.agg(F.sum("n").alias("total")).first()["total"] or 0
-    heavy = per_key.where(F.col("n") > max(1.0, heavy_share * total)).select(*_KEY)
-    facts_of_heavy = heavy.join(facts, _KEY, "left").withColumn("heavy", F.lit(True))
-    marked = refs.join(F.broadcast(facts_of_heavy), _KEY, "left")
+    found = suspects(refs, facts, heavy_share)
+    own = lambda df: df.select(*_KEY, "there", "since", "gone").distinct()
     columns = ["child_table", "ref_field", "child_id", "at"]
-    first = marked.where(F.col("heavy")).select(*columns, _reason().alias("reason"))
-    rest = marked.where(F.col("heavy").isNull()).select(*_KEY, "child_id", "at").join(facts, _KEY, "left").select(*columns, _reason().alias("reason"))
-    return first.unionByName(rest).where(F.col("reason").isNotNull())
+    first = refs.join(F.broadcast(own(found.heavy)), _KEY)  # no more rows than there are heavy keys
+    rest = refs.join(own(found.rest), _KEY)
+    return first.unionByName(rest).select(*columns, _reason().alias("reason")).where(F.col("reason").isNotNull())
+
 
+def orphan_counts(refs: DataFrame, facts: DataFrame, heavy_share: float = 0.001) -> DataFrame:
+    """Orphans per child table, field, month of the child row (NULL if unknown) and reason, from the pre-aggregated references.
 
-def orphan_report(found: DataFrame) -> DataFrame:
-    """Orphans per child table, field, month of the child row (NULL if unknown) and reason."""
-    return found.groupBy("child_table", "ref_field", F.date_format("at", "yyyy-MM").alias("period"), "reason").agg(F.count("*").alias("orphans"))
+    A key's references of a month are all late or none, unless the parent came between the first and the
+    last of them: only those are counted row by row.
+    """
+    found = suspects(refs, facts, heavy_share)
+    both = found.heavy.unionByName(found.rest)
+    split = F.coalesce("there", F.lit(False)) & F.coalesce(F.col("since") <= F.col("last"), F.lit(False))
+    whole = both.where(~split).select("child_table", "ref_field", "month", _reason("last").alias("reason"), "n")
+    part = refs.join(both.where(split).select(*_KEY, "month", "there", "since", "gone"), _KEY).where(F.date_trunc("month", "at") == F.col("month"))
+    rows = part.select("child_table", "ref_field", "month", _reason().alias("reason"), F.lit(1).cast("bigint").alias("n"))
+    return whole.unionByName(rows).where(F.col("reason").isNotNull()).groupBy("child_table", "ref_field", F.date_format("month", "yyyy-MM").alias("period"), "reason").agg(F.sum("n").alias("orphans"))

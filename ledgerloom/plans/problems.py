@@ -23,19 +23,19 @@ def p1_converted(spark: SparkSession, d: str) -> DataFrame:
     return units.to_common_units(_named(spark, d), table(spark, d, "fx_rates"))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tables = {name: table(spark, d, name) for name in ("rag_chunks", "rag_documents", "rag_companies", "chunks")}
-    return refs.orphans(refs.references(tables), refs.key_facts(tables, table(spark, d, "deleted_rows")))
+    return refs.references(tables), refs.key_facts(tables, table(spark, d, "deleted_rows"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references, one row each."""
-    return _orphans(spark, d).select("child_table", "ref_field", "child_id", "reason")
+    return refs.orphans(*_references(spark, d)).select("child_table", "ref_field", "child_id", "reason")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table and month."""
-    return refs.orphan_report(_orphans(spark, d))
+    return refs.orphan_counts(*_references(spark, d))
 
 
 _ORPHANS = r"""

@@ -42,9 +42,33 @@ def test_heavy_keys_agree_with_the_plain_join(spark):
     assert rows(found(spark, 50)) == rows(found(spark, 50, heavy_share=1.0)) == sorted(EXPECTED | hot)
 
 
+def counts(spark, hot=0, **kw):
+    t_, deleted = tables(spark, hot)
+    return {tuple(x) for x in r.orphan_counts(r.references(t_), r.key_facts(t_, deleted), **kw).collect()}
+
+
+def test_counts_agree_with_the_rows(spark):
+    """A parent that comes between two references of one month makes only the earlier one late."""
+    child = [(i, 1 + i % 3, None, at, "") for i, at in enumerate([t(2024, 1, 3), t(2024, 1, 20), t(2024, 1, 20), t(2024, 2, 1), None, t(2024, 1, 1), t(2024, 3, 9)] * 3)]
+    tables_ = {
+        "rag_chunks": spark.createDataFrame(child, CHUNKS), "rag_documents": spark.createDataFrame([(1, None, t(2024, 1, 10)), (2, None, t(2024, 2, 5)), (2, None, t(2024, 2, 6))], DOCS),
+        "chunks": spark.createDataFrame([], "chunk_id string, loaded_at timestamp_ntz"), "rag_companies": spark.createDataFrame([], "id int, created_at timestamp_ntz"),
+    }
+    none = spark.createDataFrame([], "table_name string, row_key string, deleted_at timestamp_ntz")
+    given = r.references(tables_), r.key_facts(tables_, none)
+    for share in (0.001, 0.2, 1.0):
+        want = {}
+        for x in r.orphans(*given, heavy_share=share).collect():
+            k = (x.child_table, x.ref_field, x["at"] and x["at"].strftime("%Y-%m"), x.reason)
+            want[k] = want.get(k, 0) + 1
+        assert {tuple(x)[:4]: x.orphans for x in r.orphan_counts(*given, heavy_share=share).collect()} == want and ("rag_chunks", "doc_id", "2024-01", "late") in want
+    assert counts(spark, 50) == counts(spark, 50, heavy_share=1.0)
+
+
 def test_report_and_empty(spark):
-    report = {tuple(x) for x in r.orphan_report(found(spark)).collect()}
+    report = counts(spark)
     assert ("rag_chunks", "doc_id", "2024-01", "late", 1) in report and ("rag_documents", "company_id", None, "missing", 1) in report
     t_, deleted = tables(spark)
     empty = {k: v.limit(0) for k, v in t_.items()}
     assert r.orphans(r.references(empty), r.key_facts(empty, deleted.limit(0))).count() == 0
+    assert r.orphan_counts(r.references(empty), r.key_facts(empty, deleted.limit(0))).count() == 0
