@@ -34,7 +34,7 @@ def word_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def table_row_groups(spark: SparkSession, d: str) -> DataFrame:
     """Tables in groups of eight rows under their header."""
-    blocks = table(spark, d, "page_blocks").where("table_data is not null").dropDuplicates(["doc_id", "block_index"])
+    blocks = c.one_per_place(table(spark, d, "page_blocks").where("table_data is not null"))
     return c.row_groups(blocks.select("doc_id", "block_index", "table_data")).select("doc_id", "block_index", "group_no", c.table_text("group_rows").alias("text"))
 
 
@@ -52,8 +52,7 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
 
 def section_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """Every annual report block under its section header."""
-    blocks = table(spark, d, "page_blocks").where("doc_type = 'annual_report'").select("doc_id", "block_index", "block_type", "text").dropDuplicates(["doc_id", "block_index"])
-    return c.with_sections(blocks).select("doc_id", "block_index", "carried_section")
+    return c.with_sections(_blocks(spark, d, "annual_report")).select("doc_id", "block_index", "carried_section")
 
 
 def speaker_roles(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +62,7 @@ def speaker_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of each page in block order."""
-    b = table(spark, d, "page_blocks").where("page_num > 0").select("doc_id", "page_num", "block_index", "text").dropDuplicates(["doc_id", "block_index"])
+    b = c.one_per_place(table(spark, d, "page_blocks").where("page_num > 0").select("doc_id", "page_num", "block_index", "text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"]), "\n")
     return b.groupBy("doc_id", "page_num").agg(F.md5(joined).alias("digest"), F.count("*").alias("blocks"))
 
@@ -75,17 +74,31 @@ def page_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def speaker_turn_split(spark: SparkSession, d: str) -> DataFrame:
     """Turns split from call pages by labels at line starts."""
-    b = table(spark, d, "page_blocks").where("doc_type = 'concall'").dropDuplicates(["doc_id", "block_index"])
-    return b.select("doc_id", "block_index", F.posexplode(c.speaker_turns("text")).alias("part", "turn")).select("doc_id", "block_index", "part", "turn.speaker", "turn.speech")
+    return _blocks(spark, d, "concall").select("doc_id", "block_index", F.posexplode(c.speaker_turns("text")).alias("part", "turn")).select("doc_id", "block_index", "part", "turn.speaker", "turn.speech")
+
+
+def _blocks(spark: SparkSession, d: str, doc_type: str) -> DataFrame:
+    return c.one_per_place(table(spark, d, "page_blocks").where(F.col("doc_type") == doc_type))
+
+
+def report_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Which prose of reports is chunked together."""
+    return c.report_packs(_blocks(spark, d, "annual_report"))
+
+
+def call_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Which turns of calls are chunked together."""
+    return c.call_packs(_blocks(spark, d, "concall").where("block_type <> 'section_header'"))
 
 
 def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents, tagged."""
-    x = c.chunk_documents(table(spark, d, "page_blocks"))
-    return x.select("chunk_id", "doc_id", "chunk_index", "chunk_type", "section", "text", c.importance().alias("importance_score"))
+    about = table(spark, d, "rag_documents").select(F.col("id").alias("doc_id"), "symbol", F.col("year").cast("int").alias("year"))
+    x = c.chunk_documents(table(spark, d, "page_blocks"), about)
+    return x.select("chunk_id", "doc_id", "chunk_index", "chunk_type", "section", "speaker", "page_start", "page_end", "word_count", "text", c.importance().alias("importance_score"))
 
 
-_DEFS = (clean_ascii, clean_normal_form, garbage_filter, word_windows, table_row_groups, tag_importance, embedding_text, section_carry_forward, speaker_roles, page_text, page_counts, speaker_turn_split, chunked_documents)
+_DEFS = (clean_ascii, clean_normal_form, garbage_filter, word_windows, table_row_groups, tag_importance, embedding_text, section_carry_forward, speaker_roles, page_text, page_counts, speaker_turn_split, report_packs, call_packs, chunked_documents)
 QUERIES = {f.__name__: f for f in _DEFS}
 
 
@@ -114,7 +127,23 @@ for _terms, _more in ((c.OUTLOOK, 0.2), (c.RISK, 0.1), (c.OPPORTUNITY, 0.15)):
 _TAG_LIST = f"concat_ws(',', {', '.join(_TAGS)})"
 _LABEL = "lower(concat_ws(' ', full_name, designation, firm))"
 
+
+
+def _packs(kept: str, size: str, starts: str, held: str, over: str) -> str:
+    """The fold block by block: starts says whether a block begins a pack, held and over what is held after it."""
+    return rf"""WITH RECURSIVE b AS (SELECT DISTINCT ON (doc_id, block_index) doc_id, block_index, block_type, speaker_role, text, coalesce({_WORDS}, 0) AS n FROM page_blocks WHERE {kept}),
+      k AS (SELECT *, {size} AS size, block_type IN ('section_header', 'table') AS edge, speaker_role = 'analyst' AND regexp_matches(lower(substring(text, 1, 100)), '\?|question|could you|can you|what is|how do') AS asks FROM b),
+      o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index) AS rn FROM k WHERE edge OR size > 0),
+      f AS (SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INTEGER) AS block_index, CAST(NULL AS INTEGER) AS pack, CAST(0 AS BIGINT) AS held FROM o WHERE rn = 1
+        UNION ALL SELECT o.doc_id, o.rn, o.block_index, CASE WHEN o.edge THEN NULL WHEN {starts} THEN o.block_index ELSE f.pack END, CASE WHEN o.edge THEN 0 WHEN {over} THEN 0 ELSE {held} END FROM f JOIN o ON o.doc_id = f.doc_id AND o.rn = f.rn + 1)
+      SELECT doc_id, block_index, pack FROM f WHERE pack IS NOT NULL"""
+
+
+_NEW = "(f.held = 0 OR f.held + o.size > 1024 OR o.asks)"
+
 ORACLE = {
+    "report_packs": _packs("doc_type = 'annual_report'", "CASE WHEN block_type = 'prose' THEN n ELSE 0 END", "f.held = 0", "f.held + o.size", "floor((f.held + o.size) * 1.3::DOUBLE) > 1024"),
+    "call_packs": _packs("doc_type = 'concall' AND block_type <> 'section_header'", "CAST(floor(n * 1.3::DOUBLE) AS BIGINT)", _NEW, f"CASE WHEN {_NEW} THEN o.size ELSE f.held + o.size END", "false").replace("block_type IN ('section_header', 'table') AS edge", "false AS edge"),
     "clean_ascii": f"SELECT doc_id, {_nested(_SINGLE, [*_NOISE, *_UNITS, *_TIDY])} AS clean FROM documents",
     "garbage_filter": f"""SELECT doc_id, CAST({_WORDS} AS INTEGER) AS words, CAST(floor({_WORDS} * 1.3) AS INTEGER) AS tokens,
       {_WORDS} < 20 OR coalesce(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / nullif(length(text), 0), 0) < 0.4 AS garbage FROM documents WHERE text IS NOT NULL""",

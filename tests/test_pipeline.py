@@ -30,12 +30,9 @@ def test_windows_and_tables(spark):
             assert len(seen) == want, (n, flag)
 
 
-def test_turns_roles_and_packing(spark):
+def test_turns_and_roles(spark):
     assert chunking.split_turns("Ravi Kumar: Hello.\nAnita Mehta - Thanks.\n") == [("Ravi Kumar", "Hello."), ("Anita Mehta", "Thanks.")] and chunking.split_turns("no label here") == [(None, "no label here")] and chunking.split_turns(None) == []
     assert column(spark, chunking.speaker_role, "Conference Operator", "CFO", "Blue Securities", None) == ["moderator", "management", "analyst", "unknown"]
-    b = spark.createDataFrame([(1, "", i, "w " * 300) for i in range(6)] + [(2, "", 0, "short")], "doc_id int, part string, block_index int, text string")
-    got = {(r.doc_id, r.pack_no): (r.first_block, r.last_block) for r in chunking.packed(b).collect()}
-    assert got == {(1, 0): (0, 1), (1, 1): (2, 3), (1, 2): (4, 5), (2, 0): (0, 0)}
 
 
 def test_bridge(spark):
