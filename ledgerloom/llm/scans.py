@@ -2,117 +2,200 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import scancodec as codec
-from ledgerloom.session import cut
+from ledgerloom.session import stored
 
 
 class Settings(NamedTuple):
-    """held bounds the keys of the lexicon that are dict entries; the rarer ones are compact text, with counts as exact. The samples bound what the models are fitted on."""
+    """The samples bound what the models are fitted on."""
 
-    held: int = 500_000
     sample_blocks: int = 600
     sample_lines: int = 12_000
-    short_line: int = 90
     stretch: int = 4096
-    line_keys: int = 256
+    flush: int = 200_000
 
 
-def key_counts(page_blocks: DataFrame) -> DataFrame:
-    """k, n: how often each word, number's form and compound stands in all blocks."""
-    texts = page_blocks.select("text").where(F.col("text").isNotNull())
-    plain = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9|]+(?:[,.][A-Za-z0-9|]+)*"), F.lit(0))).alias("t")).where(F.col("t").rlike("[A-Za-z0-9]") & (F.length("t") <= 40))
-    keyed = plain.select(F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", "[0-9]", "9")).otherwise(F.lower("t")).alias("k"))
-    compounds = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+(?:-[a-z]+)+"), F.lit(0))).alias("k")).where(F.length("k") <= 60)
-    return keyed.unionByName(compounds).groupBy("k").agg(F.count("*").alias("n"))
+_DROPPED = bytes(c for c in range(128) if not chr(c).isalnum() and chr(c) != "|")
+_ALIKE = bytes.maketrans(b"01|lr568eqf9h2", b"oiiiisbbcgtgbz")
+_ALONE = re.compile(r"(?<![a-z|])[0-9][0-9,.]*(?![a-z|])")
+_CAPITALS = re.compile(r"[A-Z\s]{3,60}")
+_COMPOUND = re.compile(r"[a-z]+(?:-[a-z]+)+")
+INK, CELLS, LABEL = 1, 2, 4
 
 
-def lexicon_of(page_blocks: DataFrame, s: Settings) -> tuple[codec.Lexicon, codec.Examples | None]:
-    """The count of every key, and the keys to fit the editor on where not all are dict entries.
+def skeleton(line: str) -> int:
+    """The hash of a line without case, numbers, spaces, marks and differences that misreading makes, so that a running header keeps its skeleton."""
+    low = _ALONE.sub("", line.lower()).encode("utf-8", "replace").translate(None, _DROPPED)
+    for read, meant in ((b"rn", b"m"), (b"cl", b"d"), (b"li", b"h"), (b"ii", b"u"), (b"vv", b"w")):
+        low = low.replace(read, meant)
+    return xxhash.xxh64_intdigest(low.translate(_ALIKE))
 
-    The most frequent keys, at most `held`, are entries; all others come as sorted blocks of lines that
-    executors write, so what a key costs is about its own length. No key is left out at any size.
-    """
-    counts = cut(key_counts(page_blocks))  # read several times
-    least, n = 1, 0
-    for row in counts.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():  # one row per distinct count
-        if (n := n + row["keys"]) > s.held:
-            least = row["n"] + 1
-            break
-    kept = counts.where(F.col("n") >= least).toPandas()
-    held = dict(zip(kept["k"], (int(n) for n in kept["n"])))
-    if n <= s.held:
-        return codec.Lexicon(held), None
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [batch[at : at + s.line_keys] for at in range(0, len(batch), s.line_keys)]
-            text = ["\n" + "".join(f"{k}\t{n}\n" for k, n in zip(part["k"], part["n"])) for part in parts]
-            yield pd.DataFrame({"first": [part["k"].iloc[0] for part in parts], "block": [t.encode() for t in text]})
 
-    rest = counts.where(F.col("n") < least)
-    blocks = rest.repartitionByRange("k").sortWithinPartitions("k").mapInPandas(lines, "first string, block binary").toPandas().sort_values("first")
-    lexicon = codec.lexicon_from(held, list(blocks["first"]), [bytes(b) for b in blocks["block"]])
-    t = codec.Training()
-    frequent = counts.where(~F.col("k").contains("-") & (F.col("n") >= 3)).orderBy(F.desc("n"), "k").limit(t.words).toPandas()["k"]
-    compounds = counts.where(F.col("k").contains("-") & (F.col("n") >= 2)).orderBy("k").limit(t.compounds).toPandas()["k"]
-    rare = (r["k"] for r in counts.where((F.col("n") <= 2) & F.col("k").rlike("^[a-z]{3,}$")).select("k").orderBy("k").toLocalIterator())  # only as far as it is read
-    return lexicon, codec.Examples(list(frequent), rare, list(compounds))
+def line_facts(line: str) -> tuple[int, str, str, str, int]:
+    """Of one line: skeleton, form, the word it starts with, the broken word it may end with, and INK, CELLS (a row of a table) and LABEL (no running text if alone)."""
+    if not line or line.isspace():
+        return 0, "", "", "", 0
+    flags = INK | (CELLS if " | " in line else 0)
+    if (len(line) < 60 and "A" <= line[0] <= "Z" and not any(c in line for c in ".,;")) or _CAPITALS.fullmatch(line):
+        flags |= LABEL
+    start, end = codec.LINE_START.match(line), codec.break_of(line)
+    return skeleton(line), codec.form_of(line).text, start.group(1) if start else "", end[0] + end[1] if end else "", flags
+
+
+_LINE = T.StructType([T.StructField("sk", T.LongType()), T.StructField("form", T.StringType()), T.StructField("head", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("flags", T.IntegerType())])
+_FACTS = T.StructType(
+    [
+        T.StructField("k", T.StringType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("doc_id", T.IntegerType()), T.StructField("block_index", T.IntegerType()), T.StructField("page_num", T.IntegerType()), T.StructField("th", T.LongType()), T.StructField("sec", T.LongType()), T.StructField("lines", T.ArrayType(_LINE)),
+    ]
+)
+_TYPES = {"k": pa.string(), "h": pa.int64(), "n": pa.int64(), "doc_id": pa.int32(), "block_index": pa.int32(), "page_num": pa.int32(), "th": pa.int64(), "sec": pa.int64(), "lines": pa.list_(pa.struct([("sk", pa.int64()), ("form", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("flags", pa.int32())]))}
+
+
+def _signed(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def _batch(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in _TYPES.items()], names=list(_TYPES))
+
+
+def facts_of(page_blocks: DataFrame, s: Settings) -> DataFrame:
+    """What one pass over the texts finds: counts of keys (k, its hash h, n) in all blocks and, per annual_report block, the facts of its lines.
+
+    Keys are words, forms of numbers and compounds. They are counted per partition first, in at most
+    `flush` entries at a time. Rows hold either a count or a block; texts themselves don't go on.
+    """
 
+    def counted(tokens: Counter, compounds: Counter) -> pa.RecordBatch:
+        keys: Counter = Counter(compounds)
+        for token, n in tokens.items():
+            if any(c.isalnum() for c in token):
+                keys[codec.key(token)] += n
+        return _batch(len(keys), {"k": pa.array(list(keys), pa.string()), "h": pa.array(_signed([codec.key_hash(k) for k in keys])), "n": pa.array(list(keys.values()), pa.int64())})
 
-def skeleton(c: Column) -> Column:
-    """A line without case, numbers and differences that misreading makes, so that a running header keeps its skeleton."""
-    low = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    low = F.regexp_replace(low, r"(?<![a-z|])[0-9][0-9,.]*(?![a-z|])", "#")
-    for read, meant in (("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("vv", "w")):
-        low = F.replace(low, F.lit(read), F.lit(meant))
-    bare = F.regexp_replace(F.translate(low, "01|lr568eqf9h2", "oiiiisbbcgtgbz"), r"^[^a-z]+|[^a-z]+$", "")
-    return F.when(bare == "", F.lit("#")).otherwise(bare)
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, compounds = Counter(), Counter()
+        for batch in batches:
+            at, sizes, flat, sections = [], [], [], []
+            texts, annual, section = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "annual", "section"))
+            for i, text in enumerate(texts):
+                tokens.update(codec.TOKEN.findall(text))
+                if "-" in text:
+                    compounds.update(k for w in text.lower().split() if "-" in w for k in _COMPOUND.findall(w))
+                if annual[i]:
+                    lines = text.split("\n")
+                    at.append(i)
+                    sizes.append(len(lines))
+                    flat += map(line_facts, lines)
+                    sections.append(skeleton(section[i]) if section[i] else 0)
+            if at:
+                sk, form, head, tail, flags = zip(*flat)
+                entries = pa.StructArray.from_arrays([pa.array(_signed(sk)), pa.array(form, pa.string()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array(flags, pa.int32())], fields=list(_TYPES["lines"].value_type))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                own = {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(at)) for c in ("doc_id", "block_index", "page_num", "th")}
+                yield _batch(len(at), own | {"sec": pa.array(_signed(sections)), "lines": pa.ListArray.from_arrays(offsets, entries, type=_TYPES["lines"])})
+            if len(tokens) + len(compounds) > s.flush:
+                yield counted(tokens, compounds)
+                tokens, compounds = Counter(), Counter()
+        yield counted(tokens, compounds)
+
+    annual = _is_annual() & F.col("doc_id").isNotNull() & F.col("block_index").isNotNull()
+    read = page_blocks.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("int").alias("doc_id"), F.col("block_index").cast("int").alias("block_index"), F.coalesce("page_num", F.lit(0)).cast("int").alias("page_num"), F.xxhash64("text").alias("th"), F.coalesce(annual, F.lit(False)).alias("annual"), "section", "text"
+    )
+    return read.mapInArrow(facts, _FACTS)
+
+
+def _is_annual() -> Column:
+    return F.lower(F.trim("doc_type")) == "annual_report"
+
+
+def key_counts(facts: DataFrame) -> DataFrame:
+    """h, n, k: how often each word, number's form and compound stands in all blocks."""
+    return facts.where(F.col("k").isNotNull()).groupBy("h").agg(F.sum("n").alias("n"), F.min("k").alias("k"))
+
+
+def lexicon_of(counts: DataFrame, t: codec.Training = codec.Training()) -> tuple[codec.Lexicon, codec.Examples]:
+    """The count of every key, and the keys to fit the editor on.
+
+    All counts come to the driver, as 16 bytes a key, whatever the keys; none is left out at any size.
+    Which words are frequent or seldom is a matter of their order, not of a number.
+    """
+    packed = counts.select("h", "n").toPandas()
+    plain = counts.where(~F.col("k").contains("-"))
+    frequent = plain.orderBy(F.desc("n"), "k").limit(t.words).toPandas()["k"]
+    rare = plain.where(F.col("k").rlike("^[a-z]{3,}$")).orderBy("n", "h").limit(t.rare + t.observed).toPandas()["k"]
+    compounds = counts.where(F.col("k").contains("-") & (F.col("n") > 1)).orderBy("h").limit(t.compounds).toPandas()["k"]
+    return codec.Lexicon(packed["h"].to_numpy(np.int64).view(np.uint64), packed["n"].to_numpy(np.int64)), codec.Examples(list(frequent), list(rare), list(compounds))
 
 
-def annual_blocks(page_blocks: DataFrame) -> DataFrame:
-    own = page_blocks.select("doc_id", "block_index", F.lower(F.trim("doc_type")).alias("doc_type"), F.coalesce("page_num", F.lit(0)).alias("page_num"), F.coalesce("section", F.lit("")).alias("section"), "text")
-    return own.where((F.col("doc_type") == "annual_report") & F.col("doc_id").isNotNull() & F.col("block_index").isNotNull() & F.col("text").isNotNull()).drop("doc_type").dropDuplicates(["doc_id", "block_index"])
+def annual_blocks(facts: DataFrame) -> DataFrame:
+    """doc_id, block_index, page_num, th, sec, lines: one row per block; of different texts in one place that with the least hash holds."""
+    return facts.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "block_index").agg(F.min_by(F.struct("page_num", "th", "sec", "lines"), F.struct("th", "page_num", "sec")).alias("b")).select("doc_id", "block_index", "b.*")
 
 
 def furniture_lines(blocks: DataFrame, s: Settings) -> DataFrame:
     """doc_id, block_index, line_no (from 0) of running headers, footers and page numbers.
 
-    Every short line has its skeleton counted over the pages of its document, over the documents of the
-    corpus and over those in which it runs on, all pre-aggregated; with its place on the page they are the features of a perceptron
-    fitted on a bounded sample of lines.
+    Every line has its skeleton counted over the pages of its document, over the documents of the corpus
+    and over those in which it runs on, all pre-aggregated, and whether it is a block of its own
+    somewhere in the document; with its place on the page they are the
+    features of a perceptron fitted on a bounded sample of lines. Only skeletons that stand more than
+    once are joined back.
     """
-    lines = blocks.select("doc_id", "block_index", "page_num", "section", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"), F.size(F.split("text", "\n", -1)).alias("n"), (F.size(F.filter(F.split("text", "\n", -1), lambda x: x.contains(" | "))) * 2 > F.size(F.split("text", "\n", -1))).alias("rows"))
-    short = lines.where((F.length("line") <= s.short_line) & (F.trim("line") != "")).withColumn("sk", skeleton(F.col("line")))
-    in_doc = short.select("doc_id", "sk", F.when(F.col("page_num") > 0, F.col("page_num")).otherwise(-F.col("block_index")).alias("p")).distinct().groupBy("doc_id", "sk").agg(F.count("*").cast("int").alias("pages"))
-    in_all = in_doc.groupBy("sk").agg(F.count("*").cast("int").alias("docs"), F.count_if(F.col("pages") >= 3).cast("int").alias("running"))
-    headings = blocks.where("section <> ''").select(skeleton(F.col("section")).alias("sk")).distinct().withColumn("heading", F.lit(True))
+    has = lambda c, flag: c.bitwiseAND(F.lit(flag)) != 0
+    n = F.size("lines")
     edges = blocks.where("page_num > 0").groupBy("doc_id", "page_num").agg(F.min("block_index").alias("first"), F.max("block_index").alias("last"))
+    place = F.when(F.col("first").isNull(), "unknown").when(F.col("block_index") == F.col("first"), "top").when(F.col("block_index") == F.col("last"), "bottom").otherwise("inside")
+    lines = blocks.join(edges, ["doc_id", "page_num"], "left").select("doc_id", "block_index", "page_num", place.alias("place"), n.alias("n"), (F.size(F.filter("lines", lambda x: has(x["flags"], CELLS))) * 2 > n).alias("rows"), F.posexplode("lines").alias("line_no", "l"))
+    lines = lines.where(has(F.col("l.flags"), INK)).select("doc_id", "block_index", "page_num", "place", "line_no", "n", "rows", "l.sk", "l.form")
+    page = F.when(F.col("page_num") > 0, F.col("page_num")).otherwise(-F.col("block_index"))
+    by_page = lines.groupBy("doc_id", "sk", page.alias("p")).agg(F.bool_or(F.col("n") == 1).alias("alone"))
+    in_doc = by_page.groupBy("doc_id", "sk").agg(F.count("*").cast("int").alias("pages"), F.bool_or("alone").alias("alone"))
+    in_all = in_doc.groupBy("sk").agg(F.count("*").cast("int").alias("docs"), F.count_if(F.col("pages") >= 3).cast("int").alias("running")).where("docs > 1")
+    headings = blocks.where("sec <> 0").select(F.col("sec").alias("sk")).distinct().withColumn("heading", F.lit(True))
+    known = in_all.join(headings, "sk", "full")
+    pages = F.coalesce("pages", F.lit(1))
     placed = (
-        short.join(in_doc, ["doc_id", "sk"]).join(in_all, "sk").join(headings, "sk", "left").join(edges, ["doc_id", "page_num"], "left")
+        lines.join(in_doc.where("pages > 1"), ["doc_id", "sk"], "left").join(known, "sk", "left")
         .select(
-            "doc_id", "block_index", "line_no", "line", "pages", "docs",
-            F.when(F.col("first").isNull(), "unknown").when(F.col("block_index") == F.col("first"), "top").when(F.col("block_index") == F.col("last"), "bottom").otherwise("inside").alias("place"),
-            (F.col("n") == 1).alias("whole"), ((F.col("line_no") == 0) | (F.col("line_no") == F.col("n") - 1)).alias("edge"), F.coalesce("heading", F.lit(False)).alias("heading"), (F.col("rows") & (F.col("n") > 1)).alias("table"), "running",
+            "doc_id", "block_index", "line_no", "form", pages.alias("pages"), F.coalesce("docs", F.lit(1)).alias("docs"),
+            "place", (F.col("n") == 1).alias("whole"), ((F.col("line_no") == 0) | (F.col("line_no") == F.col("n") - 1)).alias("edge"), F.coalesce("heading", F.lit(False)).alias("heading"), (F.col("rows") & (F.col("n") > 1)).alias("table"),
+            F.coalesce("running", F.when(pages >= 3, 1).otherwise(0)).alias("running"), F.coalesce("alone", F.col("n") == 1).alias("alone"),
         )
     )
-    placed = cut(placed)  # read for the sample and for the verdicts
-    columns = ["line", "pages", "docs", "place", "whole", "edge", "heading", "table", "running"]
-    sample = placed.select(*columns, F.xxhash64("doc_id", "block_index", "line_no").alias("h")).orderBy("h", "line").limit(s.sample_lines).toPandas()
-    model = placed.sparkSession.sparkContext.broadcast(codec.train_furniture(list(sample[columns].itertuples(index=False, name=None))).w)
+    placed = stored(placed)  # read for the sample and for the verdicts
+    columns = list(codec.Line._fields)
+    # A long line that is a block of its own is plain; such lines would only crowd out the others.
+    sample = placed.where(~(F.col("whole") & F.col("form").like("text|10|%"))).select(*columns, F.xxhash64("doc_id", "block_index", "line_no").alias("h")).orderBy("h", *columns).limit(s.sample_lines).toPandas()
+    model = placed.sparkSession.sparkContext.broadcast(codec.train_furniture([codec.Line(*row) for row in sample[columns].itertuples(index=False, name=None)]).w)
 
     @F.pandas_udf(T.BooleanType())
     def is_furniture(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        p = codec.Perceptron(model.value)
+        p, seen = codec.Perceptron(model.value), {}
         for batch in batches:
-            yield pd.Series([p.score(codec.line_features(*row)) > 0 for row in zip(*batch)], dtype=bool)
+            out = []
+            for row in zip(*batch):
+                if (v := seen.get(row)) is None:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    v = seen[row] = p.score(codec.line_features(codec.Line(*row))) > 0
+                out.append(v)
+            yield pd.Series(out, dtype=bool)
 
     return placed.where(is_furniture(*columns)).select("doc_id", "block_index", "line_no")
 
@@ -120,69 +203,87 @@ def furniture_lines(blocks: DataFrame, s: Settings) -> DataFrame:
 _SCAN = T.StructType([T.StructField("hyphen", T.BooleanType()), T.StructField("char", T.BooleanType()), T.StructField("text", T.StringType())])
 
 
-def scan(editor: codec.Editor, lines: list[str], removed: set[int], head: str, tail: str) -> tuple[bool, bool, str]:
+def scan(editor: codec.Editor, text: str, removed: set[int], head: str, tail: str) -> tuple[bool, bool, str]:
     """A block's noise and its repaired text.
 
-    lines: all lines of the block, of which `removed` are furniture; head: the word the next block of
-    running text starts with; tail: the line the one before ends with.
+    removed: the numbers of its lines that are furniture; head: the word the next block of running text
+    starts with; tail: the broken word the one before ends with.
     """
     char = False
+    lines = text.split("\n")
+    misread = bool(editor.misread(text))
 
-    def fix(token_text: str) -> str:
+    def fix(part: str) -> str:
         nonlocal char
-
-        def one(m) -> str:
-            nonlocal char
-            token = m.group()
-            if not any(c.isalnum() for c in token):
-                return token
-            new = editor.word(token)
-            char |= new != token
-            return new
-
-        return codec.TOKEN.sub(one, token_text)
+        if not misread:
+            return part
+        new = codec.TOKEN.sub(lambda m: editor.word(m.group()), part)
+        char |= new != part
+        return new
 
     for i in removed:
         if i < len(lines):
             fix(lines[i])
     kept = [line for i, line in enumerate(lines) if i not in removed]
-    table = sum(" | " in line for line in kept) * 2 > len(kept)
-    if table:
-        return False, char | any([fix(line) != line for line in kept]), "\n".join(fix(line) for line in kept)
+    if sum(" | " in line for line in kept) * 2 > len(kept):
+        fixed = "\n".join(map(fix, kept))
+        return False, char, fixed
     hyphen = False
     if kept and tail and (b := codec.break_of(tail)) and (start := codec.start_of(kept[0])) and editor.joined(b[0], b[1], start.split("-", 1)[0]):
         at = kept[0].index(start) + len(start.split("-", 1)[0])
         kept[0] = kept[0][at:]
-    out = ""
-    carry = ""  # what of a broken word is already at the end of `out`
+    out: list[str] = []
+    carry = False  # whether the text so far ends inside a word
     for i, line in enumerate(kept):
         last = i == len(kept) - 1
-        following = head if last else codec.start_of(kept[i + 1])
-        body, joint = line, None
-        if (b := codec.break_of(line)) and following and editor.joined(b[0], b[1], following.split("-", 1)[0]):
+        b = codec.break_of(line)
+        following = "" if not b else head if last else codec.start_of(kept[i + 1])
+        body, joint, ending = line, None, ""
+        if b and following and editor.joined(b[0], b[1], following.split("-", 1)[0]):
             hyphen = True
-            m = codec.LINE_END.search(line)
-            body, joint = line[: m.start()], b[0] + following.split("-", 1)[0]
+            first = following.split("-", 1)[0]
+            body, joint = line[: codec.line_end(line).start()], b[0] + first
             if not last:
-                nxt = kept[i + 1]
-                at = nxt.index(following) + len(following.split("-", 1)[0])
-                kept[i + 1] = nxt[at:]
+                kept[i + 1] = kept[i + 1][kept[i + 1].index(following) + len(first) :]
         elif last and b and editor.left_open(b[0], b[1], following):
             hyphen = True
         elif b and b[1] and following:  # a compound that broke at its own hyphen
-            m = codec.LINE_END.search(line)
-            body, joint = line[: m.start()], None
-            piece = fix(body).rstrip("\n") + fix(b[0]) + "-"
-            out += ("" if not out or out.endswith("\n") or carry else " ") + piece.strip() if not carry else piece
-            carry = "-"
-            continue
-        text = fix(body)
+            body, ending = line[: codec.line_end(line).start()], f"{fix(b[0])}-"
+        said = fix(body)
         if joint is not None:
-            text += fix(joint)
-        glue = "" if not out or carry else " "
-        out += glue + (text if carry else text.strip())
-        carry = "w" if joint is not None else ""
-    return hyphen, char, " ".join(out.split())
+            whole = codec.TOKEN.sub(lambda m: editor.word(m.group()), joint)
+            char |= whole != joint
+            said += whole
+        said += ending
+        out.append(said if carry else f" {said.strip()}")
+        carry = joint is not None or bool(ending)
+    return hyphen, char, " ".join("".join(out).split())
+
+
+_HELD: list = []
+
+
+def _editor(shared) -> codec.Editor:
+    """The editor of this worker, with what it remembers of tokens, for all tasks of one broadcast."""
+    value = shared.value
+    if not _HELD or _HELD[0] is not value:
+        hashes, counts, edits, joins, opens, confusions = value
+        _HELD[:] = [value, codec.Editor(codec.Lexicon(hashes, counts), codec.Perceptron(edits), codec.Perceptron(joins), codec.Perceptron(opens), confusions)]
+    return _HELD[1]
+
+
+def _neighbours_of(page_blocks: DataFrame, s: Settings, t: codec.Training) -> list[tuple[str, str]]:
+    """Words that stand side by side in a sample of blocks, found on the executors."""
+    h = F.xxhash64("doc_id", "block_index")
+    annual = page_blocks.where(_is_annual() & F.col("text").isNotNull())
+    first = annual.select(h.alias("h")).distinct().orderBy("h").limit(s.sample_blocks).agg(F.max("h")).first()[0]
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))
+    def pairs(texts: pd.Series) -> pd.Series:
+        return pd.Series([[p for line in text.split("\n") for p in codec.neighbours(line)] for text in texts], dtype=object)
+
+    found = annual.where(h <= F.lit(first)).select(h.alias("h"), F.posexplode(pairs("text")).alias("at", "p")).select("h", "at", "p.a", "p.b").distinct()
+    return [(r.a, r.b) for r in found.orderBy("h", "at", "a", "b").limit(t.ordinary).collect()]
 
 
 def repaired(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -191,48 +292,50 @@ def repaired(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
     Furniture lines are removed; misread characters replaced, deleted or inserted; words broken at line
     and block ends joined (the block where the word begins has it whole); lines become running text,
     tables keep their rows. block_type isn't used. NULL texts and keys give no row, repeated rows count
-    once, empty texts have no noise, extra columns are ignored; with no blocks there is no row.
+    once (of different texts in one place that with the least hash holds), empty texts have no noise,
+    extra columns are ignored; with no blocks there is no row.
 
-    The lexicon counts all keys of all blocks, whatever the size of the input; models are fitted on
-    bounded samples (Settings, scancodec.Training); every line of every block is scanned. The
+    One pass over the texts gives the lexicon, which counts all keys of all blocks, and facts of all
+    lines, however long; models are fitted on bounded samples (Settings, scancodec.Training). The
     neighbours of a block come from windows over stretches of a document and the stretches' ends, so
-    that no document is one task's group.
+    that no document is one task's group. Texts are shuffled once, when all is known of their block.
     """
-    lexicon, known = lexicon_of(page_blocks, s)
-    blocks = annual_blocks(page_blocks)
-    sample = blocks.select("text", F.xxhash64("doc_id", "block_index").alias("h")).orderBy("h", "text").limit(s.sample_blocks).toPandas()["text"]
-    editor = codec.train_editor(lexicon, [line for t in sample for line in t.split("\n") if len(line.split()) > 6][: codec.Training().lines], known=known)
-    shared = blocks.sparkSession.sparkContext.broadcast((dict(lexicon), getattr(lexicon, "firsts", []), getattr(lexicon, "blocks", []), editor.edits.w, editor.joins.w))
+    t = codec.Training()
+    facts = stored(facts_of(page_blocks, s))
+    lexicon, known = lexicon_of(stored(key_counts(facts)), t)
+    editor = codec.train_editor(lexicon, known, _neighbours_of(page_blocks, s, t), t)
+    shared = page_blocks.sparkSession.sparkContext.broadcast((lexicon.hashes, lexicon.counts, editor.edits.w, editor.joins.w, editor.opens.w, editor.confusions))
 
+    blocks = stored(annual_blocks(facts))
     removed = furniture_lines(blocks, s).groupBy("doc_id", "block_index").agg(F.collect_set("line_no").alias("removed"))
-    lines = F.split("text", "\n", -1)
     full = blocks.join(removed, ["doc_id", "block_index"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    full = full.withColumn("kept", F.filter(lines, lambda x, i: ~F.array_contains("removed", i) & (F.trim(x) != "")))
-    first, last = F.try_element_at("kept", F.lit(1)), F.try_element_at("kept", F.lit(-1))
-    prose = (F.size("kept") > 0) & ~F.coalesce(first.contains(" | "), F.lit(False)) & ~((F.size("kept") == 1) & (F.length(first) < 60) & ~first.rlike(r"[.,;]") & first.rlike(r"^[A-Z]")) & ~((F.size("kept") == 1) & first.rlike(r"^[A-Z\s]{3,60}$"))
-    full = full.withColumn("prose", F.coalesce(prose, F.lit(False))).withColumn("stretch", F.expr(f"block_index div {s.stretch}"))
-    head = F.when(F.col("prose"), F.regexp_extract(first, r"^\s*([A-Za-z|0-9]+(?:-[A-Za-z|0-9]+)*)", 1))
-    tail = F.when(F.col("prose"), last)
-    own = full.select("doc_id", "block_index", "page_num", "stretch", "text", "removed", "prose", head.alias("own_head"), tail.alias("own_tail"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("removed", i) & (x["flags"] != 0))
+    slim = full.select("doc_id", "block_index", "page_num", "th", "removed", F.size(kept).alias("n"), F.try_element_at(kept, F.lit(1)).alias("first"), F.try_element_at(kept, F.lit(-1))["tail"].alias("last_tail"))
+    flag = lambda x: F.coalesce(F.col("first.flags").bitwiseAND(F.lit(x)) != 0, F.lit(False))
+    prose = (F.col("n") > 0) & ~flag(CELLS) & ~((F.col("n") == 1) & flag(LABEL))
+    own = slim.select(
+        "doc_id", "block_index", "page_num", "th", "removed", F.expr(f"block_index div {s.stretch}").alias("stretch"), prose.alias("prose"), F.when(prose, F.col("first.head")).alias("own_head"), F.when(prose, F.col("last_tail")).alias("own_tail")
+    )
     ends = own.groupBy("doc_id", "stretch").agg(F.min_by("own_head", F.when(F.col("prose"), F.col("block_index"))).alias("s_head"), F.max_by("own_tail", F.when(F.col("prose"), F.col("block_index"))).alias("s_tail"))
     over = Window.partitionBy("doc_id").orderBy("stretch")
     around = ends.select("doc_id", "stretch", F.last("s_tail", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("in_tail"), F.first("s_head", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("in_head"))
     w = Window.partitionBy("doc_id", "stretch").orderBy("block_index")
     near = own.join(around, ["doc_id", "stretch"]).select(
-        "doc_id", "block_index", "page_num", "text", "removed",
+        "doc_id", "block_index", "page_num", "th", "removed",
         F.when(F.col("prose"), F.coalesce(F.first("own_head", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("in_head"))).alias("head"),
         F.when(F.col("prose"), F.coalesce(F.last("own_tail", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("in_tail"))).alias("tail"),
     )
+    texts = page_blocks.where(_is_annual() & F.col("text").isNotNull()).select(F.col("doc_id").cast("int").alias("doc_id"), F.col("block_index").cast("int").alias("block_index"), F.xxhash64("text").alias("th"), "text").dropDuplicates(["doc_id", "block_index", "th"])
 
     @F.pandas_udf(_SCAN)
     def scanned(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        words, firsts, texts, edits, joins = shared.value
-        e = codec.Editor(codec.lexicon_from(words, firsts, texts), codec.Perceptron(edits), codec.Perceptron(joins))
+        e = _editor(shared)
         for batch in batches:
-            rows = [scan(e, text.split("\n"), {int(i) for i in gone}, h or "", t or "") for text, gone, h, t in zip(*batch)]
+            rows = [scan(e, text, {int(i) for i in gone}, h or "", t or "") for text, gone, h, t in zip(*batch)]
             yield pd.DataFrame(rows, columns=["hyphen", "char", "text"])
 
-    return near.withColumn("s", scanned("text", "removed", "head", "tail")).select("doc_id", "block_index", "page_num", (F.size("removed") > 0).alias("furniture"), "s.hyphen", "s.char", F.col("s.text").alias("text"))
+    joined = near.join(texts, ["doc_id", "block_index", "th"])
+    return joined.withColumn("s", scanned("text", "removed", "head", "tail")).select("doc_id", "block_index", "page_num", (F.size("removed") > 0).alias("furniture"), "s.hyphen", "s.char", F.col("s.text").alias("text"))
 
 
 def noise_found(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -248,7 +351,7 @@ def paragraphs(page_blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
     The last text and the last start of each stretch are carried into the later ones, so that a
     paragraph runs over the edge of a stretch.
     """
-    r = cut(repaired(page_blocks, s).where(F.col("text") != "").select("doc_id", "page_num", "block_index", "text"))
+    r = stored(repaired(page_blocks, s).where(F.col("text") != "").select("doc_id", "page_num", "block_index", "text"))
     r = r.withColumn("stretch", F.expr(f"block_index div {s.stretch}"))
     keys = ["doc_id", "page_num", "stretch"]
     w = Window.partitionBy(*keys).orderBy("block_index")
