@@ -14,28 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import cut
+from ledgerloom.session import stored
 
 _WORD = re.compile("[a-z0-9]+")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 class Join(NamedTuple):
-    """Parameters of the join. A pair of similarity s meets in a tile with probability 1 - (1 - s^rows)^bands."""
+    """Parameters of the join. A pair of similarity s meets in a tile with probability 1 - (1 - s^rows)^bands.
+
+    exact: candidates come from the rarest shingles of each text instead, which loses no pair but shuffles all shingles twice.
+    """
 
     words: int = 3
     threshold: float = 0.6
-    bands: int = 60
+    bands: int = 72
     rows: int = 4
     filter_bits: int = 1 << 23
     seed: int = 1
+    exact: bool = False
+    part: int = 2048
 
 
 class _Words(dict):
     """64-bit hashes of words; forgotten when there are too many to keep."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -63,15 +68,16 @@ def shingles(text: str | None, words: int, hashes: _Words) -> np.ndarray:
 
 
 def _multipliers(join: Join) -> np.ndarray:
-    return np.random.default_rng(join.seed).integers(0, 1 << 63, size=join.bands * join.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(join.seed).integers(0, 1 << 31, size=join.bands * join.rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def band_keys(found: np.ndarray, join: Join, multipliers: np.ndarray) -> np.ndarray:
-    """One key per band, of the least of each of its rows' permutations."""
-    least = np.full(len(multipliers), np.uint64((1 << 64) - 1))
-    for at in range(0, len(found), 4096):
-        np.minimum(least, (found[None, at : at + 4096] * multipliers[:, None]).min(axis=1), out=least)
-    rows = least.reshape(join.bands, join.rows)
+    """One key per band, of the least of each of its rows' permutations of 32-bit hashes: equal shingles are least alike, so short hashes only add pairs to check."""
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(multipliers), np.uint32((1 << 32) - 1))
+    for at in range(0, len(short), 4096):
+        np.minimum(least, (short[None, at : at + 4096] * multipliers[:, None]).min(axis=1), out=least)
+    rows = least.astype(np.uint64).reshape(join.bands, join.rows)
     key = np.arange(join.bands, dtype=np.uint64) * _C
     for k in range(join.rows):
         key = _mix(key + rows[:, k])
@@ -103,7 +109,7 @@ def signatures(chunks: DataFrame, join: Join) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, multipliers, seen = _Words(), _multipliers(join), set()
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, max(1, whole.num_rows), 2000)):
             ids, nodes, sizes, maps, keys, counts = [], [], [], [], [], []
             for chunk_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(found := shingles(text, join.words, hashes)):
@@ -111,10 +117,10 @@ def signatures(chunks: DataFrame, join: Join) -> DataFrame:
                     nodes.append(node := xxhash.xxh64_intdigest(found.tobytes()))
                     sizes.append(len(found))
                     maps.append(bitmap(found, bits_of(len(found))))
-                    counts.append(0 if node in seen else join.bands)
+                    counts.append(0 if node in seen else len(found) if join.exact else join.bands)
                     if counts[-1]:
                         seen.add(node)
-                        keys.append(band_keys(found, join, multipliers))
+                        keys.append(found if join.exact else band_keys(found, join, multipliers))
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -157,13 +163,15 @@ def _overlap(join: Join):
     @F.pandas_udf(T.DoubleType())
     def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         hashes = _Words()
-        for left, right in batches:
-            sets = {t: shingles(t, join.words, hashes) for t in {*left, *right}}  # of one Arrow batch
+        for lefts, rights in batches:
             out = []
-            for a, b in zip(left, right):
-                a, b = sets[a], sets[b]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both / (len(a) + len(b) - both))
+            for at in range(0, len(lefts), 1000):
+                left, right = lefts[at : at + 1000], rights[at : at + 1000]
+                sets = {t: shingles(t, join.words, hashes) for t in {*left, *right}}
+                for a, b in zip(left, right):
+                    a, b = sets[a], sets[b]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    out.append(both / (len(a) + len(b) - both))
             yield pd.Series(out, dtype="float64")
 
     return similarity
@@ -195,6 +203,87 @@ class NearCopies(NamedTuple):
     links: DataFrame  # node_a < node_b, similarity: every pair of different shingle sets over the threshold
 
 
+def _rarest(posted: DataFrame, join: Join) -> DataFrame:
+    """Of each node's shingles those that come first in order of rarity, as many as a pair over the threshold can't do without.
+
+    Two sets whose intersection is at least threshold * the larger size share one of the first
+    size - ceil(threshold * size) + 1 elements of both, in any order that is the same for all sets. The
+    list that is sorted is as long as one text.
+    """
+    often = posted.groupBy("key").agg(F.count("*").alias("often"))
+    alone = F.col("often") > 1  # a shingle of one node only meets none
+    ranked = posted.join(often, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
+    first = F.slice("s", 1, (F.col("size") - F.ceil(F.lit(join.threshold) * F.col("size") - 1e-9) + 1).cast("int"))
+    return ranked.select("node", "size", F.explode(first).alias("s")).select("node", "size", "s.key", "s.often").where(alone).drop("often")
+
+
+_MET = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "node_a", "node_b")] + [T.StructField("size", T.IntegerType())])
+
+
+def _pairs_of_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within runs of one key, of nodes of near sizes."""
+    left, right = [], []
+    at, step = np.arange(len(key)), 1
+    while len(at := at[at + step < len(key)]) and len(at := at[key[at + step] == key[at]]):
+        a, b = size[at], size[at + step]
+        near = np.minimum(a, b) >= join.threshold * np.maximum(a, b) - 1e-9
+        left.append(at[near])
+        right.append(at[near] + step)
+        step += 1
+    none = np.empty(0, np.int64)
+    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+
+
+def _met(posted: DataFrame, join: Join) -> DataFrame:
+    """node_a < node_b of all nodes of near sizes that share a key.
+
+    posted: key, node, size. The nodes of a tile come in order, and its pairs are made where they are; a
+    tile of more than join.part nodes is handed on and joined with itself in parts, so that no tile is
+    one task.
+    """
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        crowd: list[int] = []  # the key of a crowded tile that may go on
+
+        def settled(key: np.ndarray, node: np.ndarray, size: np.ndarray, crowds: list[int]) -> pa.RecordBatch:
+            if len(key):
+                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+                key, node, size = key[fresh], node[fresh], size[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            lengths = np.diff(np.concatenate([starts, [len(key)]]))
+            many = np.repeat((lengths > join.part) | np.isin(key[starts], crowds), lengths)
+            k, n, s = key[~many], node[~many], size[~many]
+            i, j = _pairs_of_runs(k, n, s, join)
+            rest = int(many.sum())
+            blank = lambda count: pa.nulls(count, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([blank(len(i)), pa.array(key[many])]), pa.concat_arrays([pa.array(n[i]), pa.array(node[many])]), pa.concat_arrays([pa.array(n[j]), blank(rest)]), pa.concat_arrays([pa.nulls(len(i), pa.int32()), pa.array(size[many])])],
+                names=[f.name for f in _MET],
+            )
+
+        for batch in batches:
+            key, node, size = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns))
+            last, before = int(np.searchsorted(key, key[-1])) if len(key) else 0, crowd
+            if len(key) - last > join.part or (crowd and len(key) and key[-1] == crowd[0]):
+                crowd, last = [key[-1]], len(key)
+            elif last:
+                crowd = []
+            held = [key[last:], node[last:], size[last:]]
+            yield settled(key[:last], node[:last], size[:last], before + crowd)
+        yield settled(*held, crowd)
+
+    ordered = posted.select("key", "node", "size").repartition("key").sortWithinPartitions("key", "node")
+    found = stored(ordered.mapInArrow(tiles, _MET))
+    crowded = found.where(F.col("key").isNotNull()).select("key", F.col("node_a").alias("node"), "size").distinct()
+    parts = crowded.groupBy("key").agg(F.ceil(F.count("*") / join.part).cast("int").alias("parts"))
+    both = crowded.join(parts, "key")
+    a = both.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("node_a"), F.col("size").alias("s_a")).repartition("key", "part")
+    b = both.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("node_b"), F.col("size").alias("s_b")).repartition("key", "part")
+    more = a.join(b, ["key", "part"]).where((F.col("node_a") < F.col("node_b")) & (F.least("s_a", "s_b") >= F.lit(join.threshold) * F.greatest("s_a", "s_b") - 1e-9)).select("node_a", "node_b")
+    return found.where(F.col("key").isNull()).select("node_a", "node_b").unionByName(more).distinct()
+
+
 def near_copies(chunks: DataFrame, join: Join = Join()) -> NearCopies:
     """Exact copies as classes and near-copies as links between classes.
 
@@ -203,24 +292,20 @@ def near_copies(chunks: DataFrame, join: Join = Join()) -> NearCopies:
     distinct; extra columns are ignored; an empty table gives no members and no links.
 
     Texts with the same shingles are one node from the start, so a group of copies of any size costs one
-    node. Nodes meet in tiles of equal banded min-hash keys; a pair in a tile must pass the size band
-    (the smaller set has at least `threshold` of the larger), then the bit counts of the hashed bitmaps,
-    which bound the overlap from above, and then the exact intersection. No partner list is capped and
-    nothing comes to the driver. Tiles are formed by an equi-join, whose hot keys AQE splits.
+    node. Nodes meet in tiles of equal banded min-hash keys (or of equal rare shingles, `Join.exact`);
+    only nodes of near sizes (the smaller set has at least `threshold` of the larger) become a pair of a
+    tile. A pair must pass the bit counts of the hashed bitmaps, which bound the overlap from above, and
+    then the exact intersection. No partner list is capped and nothing comes to the driver.
 
-    Signatures are written once to the checkpoint folder, for the text is the costly part to read.
+    Signatures are written once to the shared folder, for the text is the costly part to read.
     """
-    signed = cut(signatures(chunks, join))
+    signed = stored(signatures(chunks, join))
     nodes = signed.groupBy("node").agg(F.min("chunk_id").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
-    posted = signed.select("node", F.explode("keys").alias("key")).repartition("key").distinct()  # one shuffle serves both
-    a, b = posted.select("key", F.col("node").alias("node_a")), posted.select("key", F.col("node").alias("node_b"))
-    met = a.join(b, "key").where("node_a < node_b").select("node_a", "node_b").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "bitmap")))
+    keyed = signed.select("node", "size", F.explode("keys").alias("key"))
+    met = _met(_rarest(keyed.distinct(), join) if join.exact else keyed, join)
+    side = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "bitmap")))
     paired = met.join(side("a"), "node_a").join(side("b"), "node_b")
-    banded = paired.where(F.least("size_a", "size_b") >= join.threshold * F.greatest("size_a", "size_b") - 1e-9)
-    bounded = banded.where(_may_match(join)("size_a", "size_b", "bitmap_a", "bitmap_b")).select("node_a", "node_b")
-    rep = lambda x: nodes.select(F.col("node").alias(f"node_{x}"), F.col("rep").alias(f"rep_{x}"))
-    likely = cut(bounded.join(rep("a"), "node_a").join(rep("b"), "node_b"))
+    likely = stored(paired.where(_may_match(join)("size_a", "size_b", "bitmap_a", "bitmap_b")).select("node_a", "node_b", "rep_a", "rep_b"))
     wanted = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("chunk_id")).distinct()
     texts = _only(chunks.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()), wanted, join.filter_bits).join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     text = lambda x: texts.select(F.col("chunk_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))

@@ -43,6 +43,25 @@ def test_pairs_match_brute_force(spark):
     assert by["copy2"].class_id == "copy1" and by["copy1"].copies == 2 and "two" not in by and by["long"].links == 0
 
 
+def test_exact_candidates_lose_no_pair(spark):
+    """With one band most pairs of little similarity never meet; the rarest shingles find all of them."""
+    texts = sample()
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    want = brute(texts)
+    got = [{tuple(r) for r in n.pairs(n.near_copies(chunks, n.Join(bands=1, rows=6, exact=exact))).collect()} for exact in (False, True)]
+    assert got[0] < want == got[1]
+
+
+def test_crowded_tiles_are_cut(spark):
+    posted = spark.range(90).selectExpr("id as node", "cast(10 + id % 3 as int) as size", "id % 4 as key").unionByName(spark.createDataFrame([(200, 10, 77), (201, 11, 77), (202, 10, 78), (203, 30, 78), (204, 5, 79)], "node long, size int, key long"))
+    rows = posted.collect()
+    want = {(a.node, b.node) for a in rows for b in rows if a.key == b.key and a.node < b.node and min(a.size, b.size) >= 0.6 * max(a.size, b.size)}
+    for part, batch in ((2048, 10_000), (2048, 4), (7, 10_000), (7, 4), (7, 1), (1, 3), (22, 5)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert {tuple(r) for r in n._met(posted.unionByName(posted.limit(40)), n.Join(part=part)).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     found = n.near_copies(spark.createDataFrame([], "chunk_id string, text string"))
     assert n.pairs(found).count() == 0 == n.classes(found).count()
