@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of chunks over their limit."""
-    return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "split_limits"))
+    return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "split_limits"), splitting.page_words(table(spark, d, "page_blocks")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

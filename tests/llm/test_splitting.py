@@ -46,3 +46,32 @@ def test_rows(spark):
     assert [r.word_count for r in got] == [6, 9, 10, 9][: len(got)] or sum(r.word_count for r in got) == 25 + 3 * (len(got) - 1)
     assert got[0].page_start == 1 and got[-1].page_end == 2 and max(r.word_count for r in got) <= 10
     assert s.split_oversized(chunks.limit(0), limits).count() == 0 == s.split_oversized(chunks, limits.limit(0)).count()
+
+
+def test_depth_of_headings_and_items():
+    depth = s.heading_depth
+    assert [depth(x) for x in ("# One", "### Three", "[Section: x]", "RISK FACTORS", "2.1 Credit risk", "2.1.3 Credit risk of groups", "1. first item", "Plain text", "2.1 This is a sentence that ends here.", "A | B")] == [1, 3, 1, 1, 2, 3, None, None, None, None]
+    part = lambda n: " ".join(["word"] * n) + ".\n"
+    text = "# A\n" + part(5) + "## A1\n" + part(8) + "## A2\n" + part(8) + "# B\n" + part(12)
+    starts = [text[a:b].split("\n")[0] for *_, a, b in s.pieces(text, 20, 0)]
+    assert starts == ["# A", "## A2", "# B"]  # the oversized section is cut at its subsections, the other stays whole
+    items = "\n".join(["- one two three four", "  - five six seven", "  - eight nine ten", "- eleven twelve thirteen", "  - fourteen fifteen sixteen"])
+    assert [items[a:b].split()[1] for *_, a, b in s.pieces(items, 14, 0)] == ["one", "eleven"]
+    deep = [r for _, r in zip(*s.boundaries(items)) if r >= s.LINE]
+    assert deep == [s.ITEM - 1, s.ITEM - 1, s.ITEM, s.ITEM - 1]
+
+
+def test_first_piece_may_be_full():
+    text = " ".join(f"w{i}." for i in range(25))
+    sizes = [end - first for first, end, *_ in s.pieces(text, 10, 3)]
+    assert sizes[0] == 10 and max(sizes) <= 10 and sum(sizes) == 25 + 3 * (len(sizes) - 1)
+
+
+def test_pages_are_looked_up(spark):
+    """Page 2 is nearly empty: an even spread would put the middle of the text there."""
+    blocks = spark.createDataFrame([(1, 0, 1, "w " * 10), (1, 0, 1, "w " * 10), (1, 1, 2, "w"), (1, 2, 3, "w " * 9), (1, 3, 0, "x"), (None, 4, 1, "x"), (1, 5, 1, None)], "doc_id int, block_index int, page_num int, text string")
+    assert {tuple(r) for r in s.page_words(blocks).collect()} == {(1, 1, 10), (1, 2, 1), (1, 3, 9)}
+    chunks = spark.createDataFrame([("a", 1, "annual_report", "prose", "w. " * 20, 1, 3), ("b", 9, "annual_report", "prose", "w. " * 20, 1, 3), ("c", None, "annual_report", "prose", "w. " * 20, None, 3)], "chunk_id string, doc_id int, doc_type string, chunk_type string, text string, page_start int, page_end int")
+    limits = spark.createDataFrame([("annual_report", "prose", 10, 0)], "doc_type string, chunk_type string, max_words int, overlap_words int")
+    got = {(r.chunk_id, r.piece_no): (r.page_start, r.page_end) for r in s.split_oversized(chunks, limits, s.page_words(blocks)).collect()}
+    assert got == {("a", 0): (1, 1), ("a", 1): (2, 3), ("b", 0): (1, 2), ("b", 1): (2, 3), ("c", 0): (3, 3), ("c", 1): (3, 3)}
