@@ -35,9 +35,8 @@ def divergence(actual: Column, claim: Column) -> Column:
     return F.when(actual == 0, F.lit(0.0)).otherwise(F.abs((claim - actual) / nonzero(actual)))
 
 
-def minmax(c: Column, window) -> Column:
-    """Score within its window from 0 to 1; 1 where all are equal."""
-    low, high = F.min(c).over(window), F.max(c).over(window)
+def scaled(c: Column, low: Column, high: Column) -> Column:
+    """A score from 0 to 1 within its range; 1 where the range is a point."""
     return F.when(high == low, F.lit(1.0)).otherwise((c - low) / nonzero(high - low))
 
 

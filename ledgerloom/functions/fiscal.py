@@ -37,12 +37,12 @@ def two_digit_year(text: str | Column) -> Column:
 
 
 def year_of_title(text: str | Column) -> Column:
-    """The fiscal year a title names: 'Q3 FY24', then 'FY24', then '2023-24', then '2023'; NULL if none."""
-    t = F.col(text) if isinstance(text, str) else text
+    """The fiscal year a title names: 'Q3 FY24', then 'FY-24', then '2023-24' or '2023/24' (the year it ends in), then '2023'; NULL if none."""
+    t = F.lower(F.col(text) if isinstance(text, str) else text)
     first = lambda pattern, group=1: F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
     return F.coalesce(
-        two_digit_year(first(r"(?i)Q[1-4]\s*FY\s*(\d{4}|\d{2})\b")), two_digit_year(first(r"(?i)FY\s*(\d{4}|\d{2})\b")),
-        first(r"\b(20\d{2})\s*[-–]\s*\d{2,4}\b").try_cast("int") + 1, first(r"\b(20\d{2})\b").try_cast("int"),
+        two_digit_year(first(r"q[1-4][\s-]*fy[\s-]*(\d{4}|\d{2})")), two_digit_year(first(r"\bfy[\s-]*(\d{4}|\d{2})")),
+        first(r"(20\d{2})[–/-]\d{2,4}").try_cast("int") + 1, first(r"(20\d{2})").try_cast("int"),
     )
 
 

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.catalog import ACTIONS, KINDS, TABLES, TEXT_KINDS
+from ledgerloom.operators.catalog import ACTIONS, KINDS, TABLES, TEXT_KINDS, kinds_frame
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,12 @@ def channel(atom: Atom) -> str:
     return "sql"
 
 
+def channel_of(sub_type: str | Column, need_type: str | Column) -> Column:
+    """`channel` of columns of kinds and need types."""
+    kind, need = (F.col(c) if isinstance(c, str) else c for c in (sub_type, need_type))
+    return F.when(kind.isin(*TEXT_KINDS) | (need == "qualitative"), "vector").when(need == "forward_looking", F.when(kind.isin(*KINDS), "both").otherwise("vector")).otherwise("sql")
+
+
 def expand(atoms: list[Atom]) -> list[Atom]:
     """A comparison becomes one quantitative atom per company."""
     out: list[Atom] = []
@@ -135,6 +141,19 @@ def expand_frame(atoms: DataFrame) -> DataFrame:
     return atoms.withColumn("symbol", F.explode(many)).withColumn("need_type", F.when(F.col("need_type") == "comparative", "quantitative").otherwise(F.col("need_type"))).drop("symbols")
 
 
+def with_schema(atoms: DataFrame) -> DataFrame:
+    """Atoms with their kind's table, columns, value column, unit and date column; "" for kinds the warehouse doesn't hold."""
+    known = atoms.join(F.broadcast(kinds_frame(atoms.sparkSession)), "sub_type", "left")
+    return known.withColumns({c: F.coalesce(c, F.lit("")) for c in ("table", "value_col", "unit", "date_col")}).withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
+
+
+def distinct_atoms(first: DataFrame, then: DataFrame, keys: tuple[str, ...] = ("query_id", "sub_type")) -> DataFrame:
+    """Both united, each key once: an atom of the rules before one of the model, earlier ones before later ones. Columns: keys, ord and what else both have."""
+    both = first.withColumn("_from", F.lit(0)).unionByName(then.withColumn("_from", F.lit(1)))
+    rest = [c for c in first.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("_from", "ord")).alias("a")).select(*keys, "a.*")
+
+
 def rows_of_atoms(atoms: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of many atoms in one plan: each atom's hull of fiscal years is exploded, so the range join is an equi-join on company and year."""
     hull = atoms.withColumn("fiscal_year", F.explode(F.sequence(F.array_min("years"), F.array_max("years")))).select("atom_id", "symbol", "fiscal_year")
@@ -146,3 +165,8 @@ def newest_of_atoms(atoms: DataFrame, facts: DataFrame) -> DataFrame:
     w = Window.partitionBy("atom_id").orderBy(F.desc("fiscal_year"), "symbol")
     ranked = atoms.select("atom_id", "symbol", "time_horizon").join(facts, "symbol").withColumn("rn", F.row_number().over(w))
     return ranked.where(F.col("rn") <= 10).where((F.col("rn") <= 5) | (F.col("time_horizon") != "current"))
+
+
+def fetch_symbol(symbol: str, sub_types: list[str], tables: dict[str, DataFrame], years: tuple[int, ...] = ()) -> list[Fetched]:
+    """Several kinds of one company; kinds the warehouse doesn't hold are left out."""
+    return fetch([Atom(k, symbol=symbol, years=tuple(years), metric=k.replace("_", " "), time_horizon="historical" if years else "current") for k in sub_types if k in KINDS], tables)

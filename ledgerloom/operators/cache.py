@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import dot
 from ledgerloom.functions.fiscal import fresh
+from ledgerloom.operators.retrieval import cosine_topk
 
 TTL, SIMILAR = 7 * 24 * 3600, 0.92
 
@@ -22,20 +22,20 @@ def lookup(questions: DataFrame, cache: DataFrame, now: Column, ttl: int = TTL)
     return questions.join(live, "key", "left").withColumn("hit", F.col("response").isNotNull())
 
 
-def nearest(questions: DataFrame, cache: DataFrame, least: float = SIMILAR, but_self: bool = False) -> DataFrame:
+def nearest(questions: DataFrame, cache: DataFrame, least: float = SIMILAR, but_self: bool = False, **blocks: int) -> DataFrame:
     """Each question's nearest entry of its company and type: question_id, entry_id, similarity, hit.
 
-    but_self: questions and entries share their ids, and an entry isn't looked up in itself.
-
-    Vectors have unit length. Company and type are equi-join keys, so only entries of one company meet.
-    Years are looked at on the nearest entry alone: where both name years, they must overlap.
+    Vectors meet in tiles of one company and type (`cosine_topk`), so that a company with a large part of
+    all entries isn't one task. Years are looked at on the nearest entry alone: where both name years,
+    they must overlap. but_self: questions and entries share their ids, and an entry isn't looked up in
+    itself.
     """
-    pairs = questions.select("question_id", "symbol", "doc_type", F.col("vector").alias("qv"), F.col("years").alias("qy")).join(cache.select("entry_id", "symbol", "doc_type", F.col("vector").alias("cv"), F.col("years").alias("cy")), ["symbol", "doc_type"])
-    if but_self:
-        pairs = pairs.where("question_id <> entry_id")
-    scored = pairs.select("question_id", "entry_id", F.round(dot("qv", "cv"), 6).alias("similarity"), ((F.size("qy") == 0) | (F.size("cy") == 0) | F.arrays_overlap("qy", "cy")).alias("years_meet"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "entry_id")
-    return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("question_id", "entry_id", "similarity", (F.col("years_meet") & (F.col("similarity") >= least)).alias("hit"))
+    keys = ("symbol", "doc_type")
+    q, e = questions.select(F.col("question_id").alias("query_id"), *keys, "vector"), cache.select(F.col("entry_id").alias("item_id"), *keys, "vector")
+    near = cosine_topk(q, e, 1, keys=keys, but_self=but_self, **blocks).select(F.col("query_id").alias("question_id"), F.col("item_id").alias("entry_id"), F.col("score").alias("similarity"))
+    met = near.join(questions.select("question_id", F.col("years").alias("qy")), "question_id").join(cache.select("entry_id", F.col("years").alias("cy")), "entry_id")
+    years_meet = (F.size("qy") == 0) | (F.size("cy") == 0) | F.arrays_overlap("qy", "cy")
+    return met.select("question_id", "entry_id", "similarity", (years_meet & (F.col("similarity") >= least)).alias("hit"))
 
 
 def stored(cache: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,8 +54,9 @@ def invalidated(cache: DataFrame, symbol: str | None = None, doc_type: str | Non
     return cache.where(~F.coalesce(hit, F.lit(False)))
 
 
-def stats(cache: DataFrame) -> DataFrame:
-    return cache.agg(F.count("*").alias("entries"), F.sum(F.length("response")).alias("bytes"))
+def stats(cache: DataFrame, ttl: int = TTL, threshold: float = SIMILAR) -> DataFrame:
+    """Entries, their size, and the settings they are looked up with."""
+    return cache.agg(F.count("*").alias("entries"), F.sum(F.length("response")).alias("bytes"), F.lit(ttl).alias("ttl"), F.lit(threshold).alias("threshold"))
 
 
 def within_budget(chunks: DataFrame, budget: int, key: str, order: list[Column | str], extra: int = 250) -> DataFrame:
@@ -64,3 +65,11 @@ def within_budget(chunks: DataFrame, budget: int, key: str, order: list[Column |
     cost = F.sum(F.length("text") + extra).over(w.rowsBetween(Window.unboundedPreceding, 0))
     kept = chunks.withColumn("used", cost).withColumn("place", F.row_number().over(w))
     return kept.where(((F.col("used") <= budget) | (F.col("place") == 1)) & F.lit(budget > 0))
+
+
+def within_tokens(chunks: DataFrame, budget: int, key: str, order: list[Column | str], extra: int = 60, chars_a_token: float = 3.5) -> DataFrame:
+    """Leading chunks of each key while their estimated tokens plus `extra` each stay in the budget; at least one, and the first three for a budget of 0 or less."""
+    w = Window.partitionBy(key).orderBy(*order)
+    tokens = F.greatest(F.lit(1), F.floor(F.length("text") / chars_a_token)) + extra
+    kept = chunks.withColumn("used", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
+    return kept.where((F.col("used") <= budget) | (F.col("place") == 1) if budget > 0 else F.col("place") <= 3)

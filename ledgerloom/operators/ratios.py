@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import nonzero, pct, safe_div, yoy
+from ledgerloom.functions.exprs import cagr, nonzero, pct, safe_div, yoy
 
 
 def latest_by(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -139,3 +139,21 @@ def snapshot(pl: DataFrame, metric: str, years: int = 3, since: int = 2018) -> D
     trend = pl.join(latest, "symbol").where(F.col("fiscal_year").between(F.greatest(F.col("latest") - (years - 1), F.lit(since)), F.col("latest")))
     shown: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fiscal_year", F.round(metric, 0).cast("bigint").alias("m")))), lambda x: F.concat_ws(":", x["fiscal_year"], x["m"])), " ")
     return trend.groupBy("symbol", "latest").agg(shown.alias("trend"))
+
+
+def of_years(ratios: DataFrame, years: tuple[int, ...] | list[int]) -> DataFrame:
+    """The ratios of several fiscal years."""
+    return ratios.where(F.col("fiscal_year").isin(*years))
+
+
+def derived(facts: DataFrame, span: int = 3, metric: str = "revenue") -> DataFrame:
+    """fcf (cash from operations less capex), ebitda_proxy (operating profit and depreciation) and the metric's compound growth over `span` years.
+
+    facts: symbol, fiscal_year, cfo, capex, operating_profit, depreciation and the metric. A missing
+    figure or first year gives NULL. One shuffle by symbol: the earlier year is sought among the rows of
+    a window that can hold it.
+    """
+    w = Window.partitionBy("symbol").orderBy("fiscal_year").rangeBetween(-span, -span)
+    before = F.first(metric).over(w)
+    x = facts.withColumn("_before", before)
+    return x.select("symbol", "fiscal_year", F.round(F.col("cfo") - F.col("capex"), 2).alias("fcf"), F.round(F.col("operating_profit") + F.col("depreciation"), 2).alias("ebitda_proxy"), cagr(F.col("_before"), F.col(metric), F.lit(span)).alias(f"{metric}_cagr_pct"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,17 +11,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.exprs import minmax, sigmoid
-from ledgerloom.functions.text import tokens
+from ledgerloom.functions.exprs import scaled, sigmoid
+from ledgerloom.functions.text import any_of, tokens
+from ledgerloom.operators.understand import year_intents
+from ledgerloom.session import stored
 
 K1, B, MIN_RESULTS, TOP_ANNUAL, TOP_CALL = 1.5, 0.75, 8, 30, 25
-# Our own intents of query expansion, by name.
+# Intents of a question with the phrases that documents have for them, and words of outlook. A question is expanded by the first four phrases of its intents.
 INTENTS = (
-    ("outlook", ("we expect", "going forward", "next quarter", "guidance")), ("guidance", ("full year guidance", "target", "forecast", "projected")), ("risk", ("risk factors", "headwinds", "challenges", "exposure")),
-    ("capex", ("capital expenditure", "expansion plan", "additions to fixed assets")), ("margin", ("operating margin", "margin improvement", "gross margin")), ("revenue", ("revenue from operations", "total income", "net sales")),
-    ("ebitda", ("operating profit", "earnings before interest and tax")), ("profit", ("profit after tax", "net profit", "profit before tax")), ("debt", ("borrowings", "net debt", "finance cost")), ("cash flow", ("cash from operations", "free cash flow")),
-    ("dividend", ("dividend per share", "payout ratio")), ("receivables", ("trade receivables", "debtor days", "collections")), ("inventory", ("inventories", "inventory days", "stock levels")), ("order book", ("order inflow", "orders in hand")),
+    ("outlook", ("we expect", "we anticipate", "our outlook", "going forward")),
+    ("demand", ("demand environment", "volume growth", "market demand", "cargo volume")),
+    ("guidance", ("FY guidance", "target", "projected", "forecast")),
+    ("risk", ("risk factors", "headwinds", "challenges", "macro risk")),
+    ("capex", ("capital expenditure", "capex plan", "investment", "expansion")),
+    ("margin", ("EBITDA margin", "operating margin", "margin guidance", "margin improvement")),
+    ("management", ("management commentary", "CEO said", "CFO mentioned", "management discussion")),
+    ("revenue", ("revenue from operations", "total income", "net revenue", "revenue growth")),
+    ("ebitda", ("EBITDA", "earnings before interest tax depreciation", "operating profit", "EBIT")),
+    ("profit", ("profit after tax", "PAT", "net profit", "profit before tax")),
+    ("depreciation", ("depreciation and amortisation", "D&A", "amortisation", "depreciation on property plant")),
+    ("assets", ("total assets", "fixed assets", "current assets", "non-current assets")),
+    ("equity", ("shareholders equity", "net worth", "book value", "retained earnings")),
+    ("debt", ("net debt", "total debt", "borrowings", "long term debt")),
+    ("working_capital", ("current liabilities", "trade payables", "trade receivables", "inventories")),
+    ("cashflow", ("cash flow from operations", "operating cash flow", "cash flow from investing", "cash flow from financing")),
+    ("ocf", ("operating cash flow", "cash from operations", "net cash flow from operating activities", "cash generated from operations")),
+    ("eps", ("earnings per share", "diluted EPS", "basic EPS", "EPS growth")),
+    ("roe_roce", ("return on equity", "ROE", "return on capital employed", "ROCE")),
+    ("book_value", ("book value per share", "net asset value per share", "NAV per share", "tangible book value")),
+    ("pe_pb", ("price to earnings", "P/E ratio", "price to book", "P/B ratio")),
+    ("dividends", ("dividend per share", "DPS", "dividend payout", "dividend yield")),
+    ("segments", ("segment revenue", "segment EBITDA", "segment profit", "business segment")),
+    ("geography", ("India revenue", "outside India", "geographical segment", "domestic revenue")),
 )
+FORWARD_HINTS = ("outlook", "h1", "h2", "next", "expect", "guidance", "demand environment", "going forward")
+FORWARD_PHRASES = ("outlook", "expect", "anticipate", "guidance", "target")
 
 
 def embed(text: str | Column, size: int = 768) -> Column:
@@ -42,35 +66,55 @@ def embed(text: str | Column, size: int = 768) -> Column:
     return hashed(tokens(F.col(text) if isinstance(text, str) else text))
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, item_block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """Exact k nearest items of every query by cosine: query_id, item_id, score (6 places), rank.
+def cosine_topk(
+    queries: DataFrame, items: DataFrame, k: int, item_block: int = 4096, query_block: int = 1024, keys: tuple[str, ...] = (), but_self: bool = True, allow: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None
+) -> DataFrame:
+    """Exact k nearest items of every query by cosine: keys, query_id, item_id, score (6 places), rank.
 
-    queries: query_id, vector; items: item_id, vector. The set of queries meets all items in tiles of
-    fixed size: a tile is one matrix product and keeps its k best per query, so what is shuffled back is
-    k rows per query and item block. Equal scores rank by item_id; an item never meets itself; rows
-    without a vector have no part.
+    queries: query_id, vector; items: item_id, vector; both with the columns of `keys`, which must be
+    equal for a query to meet an item. The queries of a key meet its items in tiles of fixed size, so
+    that no key, however hot, is one task: a tile is one matrix product and keeps its k best per query,
+    and what is shuffled back is k rows per query and item block. `allow` gets the queries and items of a
+    tile with all their other columns, and returns which may meet. Equal scores rank by item_id; with
+    but_self an item never meets the query of its id; rows without a vector or key have no part.
     """
-    items, queries = items.where("item_id is not null and vector is not null"), queries.where("query_id is not null and vector is not null")
-    ni, nq = (max(1, math.ceil(df.count() / size)) for df, size in ((items, item_block), (queries, query_block)))
-    left = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-
-    def tile(key: tuple, i: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    by = list(keys) or ["_all"]
+    queries, items = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (queries, items))  # both may come from one table
+    if not keys:
+        queries, items = (df.withColumn("_all", F.lit(0)) for df in (queries, items))
+    ready = lambda df, own: df.where(F.col(own).isNotNull() & F.col("vector").isNotNull()).withColumn(own, F.col(own).cast("bigint"))
+    queries, items = ready(queries, "query_id"), ready(items, "item_id")
+    blocks = items.groupBy(*by).agg(F.ceil(F.count("*") / item_block).alias("_ni")).join(queries.groupBy(*by).agg(F.ceil(F.count("*") / query_block).alias("_nq")), by)
+    if not keys:
+        blocks = F.broadcast(blocks)  # one row
+    place = lambda own, n: F.pmod(F.xxhash64(own), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    left = items.join(blocks, by).withColumn("_ib", place("item_id", "_ni")).withColumn("_qb", spread("_nq")).drop("_ni", "_nq")
+    right = queries.join(blocks, by).withColumn("_qb", place("query_id", "_nq")).withColumn("_ib", spread("_ni")).drop("_ni", "_nq")
+
+    def tile(key: tuple, q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if not len(i) or not len(q):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return pd.DataFrame({**{c: pd.Series([], dtype=object) for c in by}, "query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         unit = lambda rows: (m := np.array(rows.tolist(), np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         ids, own = i["item_id"].to_numpy(), q["query_id"].to_numpy()
         scores = np.round(unit(q["vector"]) @ unit(i["vector"]).T, 6)
-        scores[own[:, None] == ids[None, :]] = -np.inf
+        if but_self:
+            scores[own[:, None] == ids[None, :]] = -np.inf
+        if allow is not None:
+            scores[~allow(q, i)] = -np.inf
         order = np.argsort(ids, kind="stable")
         best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
         at = np.repeat(np.arange(len(own)), best.shape[1])
-        out = pd.DataFrame({"query_id": own[at], "item_id": ids[best.ravel()], "score": scores[at, best.ravel()]})
-        return out[np.isfinite(out["score"])]
+        score = scores[at, best.ravel()]
+        met = np.isfinite(score)
+        same = {c: pd.Series([v] * int(met.sum()), dtype=object) for c, v in zip(by, key)}
+        return pd.DataFrame({**same, "query_id": own[at][met], "item_id": ids[best.ravel()][met], "score": score[met]})
 
-    near = right.groupBy("ib", "qb").cogroup(left.groupBy("ib", "qb")).applyInPandas(lambda key, q, i: tile(key, i, q), "query_id bigint, item_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    types = {c: items.schema[c].dataType.simpleString() for c in by}
+    tiles = [*by, "_ib", "_qb"]
+    near = right.groupBy(*tiles).cogroup(left.groupBy(*tiles)).applyInPandas(tile, ", ".join(f"{c} {t}" for c, t in types.items()) + ", query_id bigint, item_id bigint, score double")
+    w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "item_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_all")
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -114,9 +158,14 @@ def bm25_of_candidates(candidates: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def fused(candidates: DataFrame) -> DataFrame:
-    """Adds score: the mean of both scores, each scaled from 0 to 1 within its query."""
-    w = Window.partitionBy("query_id")
-    return candidates.withColumn("score", F.round((minmax(F.col("vector_score"), w) + minmax(F.col("bm25"), w)) / 2, 6))
+    """Adds score: the mean of vector_score and bm25, each scaled from 0 to 1 within its query (1 where all are equal).
+
+    The ranges are aggregates that combine before the shuffle, so no query's candidates are one window.
+    """
+    names = ("vector_score", "bm25")
+    ranges = candidates.groupBy("query_id").agg(*(f(c).alias(f"_{end}_{c}") for c in names for end, f in (("low", F.min), ("high", F.max))))
+    score = sum((scaled(F.col(c), F.col(f"_low_{c}"), F.col(f"_high_{c}")) for c in names), F.lit(0.0)) / 2
+    return candidates.join(ranges, "query_id").withColumn("score", F.round(score, 6)).select(*candidates.columns, "score")
 
 
 def recency_boost(year: str = "year") -> Column:
@@ -130,14 +179,10 @@ def adjusted(score: str = "score", doc_type: str = "doc_type", role: str = "spea
 
 
 def widened(candidates: DataFrame, k: int, in_years: str = "in_years", least: int = MIN_RESULTS) -> DataFrame:
-    """Each query's k best rows within its years; queries with fewer than `least` of those get their k best of all years instead.
-
-    One pass: the count of rows in the years decides per query, and the rank is taken within the population that counts.
-    """
-    per = Window.partitionBy("query_id")
-    n = F.least(F.lit(k), F.sum(F.col(in_years).cast("int")).over(per))
-    chosen = candidates.withColumn("widened", n < least).where(F.col("widened") | F.col(in_years))
-    w = per.orderBy(F.desc("score"), "doc_id")
+    """Each query's k best rows within its years; queries with fewer than `least` of those get their k best of all years instead."""
+    counts = candidates.groupBy("query_id").agg((F.least(F.lit(k), F.count_if(F.col(in_years))) < least).alias("widened"))
+    chosen = candidates.join(counts, "query_id").where(F.col("widened") | F.col(in_years))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -155,8 +200,85 @@ def overlap_logit(query: Column, text: Column) -> Column:
 
 
 def expanded(query: str | Column, most: int = 12) -> Column:
-    """The query with phrases of every intent it names or already uses, without repeats, the first `most` joined by ". "."""
+    """The question and, without repeats, the phrases of every intent it names or already uses and of outlooks if it asks for one; the first `most` phrases, joined by ". "."""
     q = F.col(query) if isinstance(query, str) else query
     low = F.lower(q)
-    hits = [F.when(low.contains(name) | low.rlike("|".join("\\Q" + p + "\\E" for p in phrases[:3])), F.array(*(F.lit(p) for p in phrases[:4]))).otherwise(F.array().cast("array<string>")) for name, phrases in INTENTS]
-    return F.array_join(F.slice(F.array_distinct(F.concat(F.array(q), *hits)), 1, most), ". ")
+    none = F.array().cast("array<string>")
+    hits = [F.when(any_of(low, (name, *(p.lower() for p in phrases[:3]))), F.array(*(F.lit(p) for p in phrases[:4]))).otherwise(none) for name, phrases in INTENTS]
+    hits.append(F.when(any_of(low, FORWARD_HINTS), F.array(*map(F.lit, FORWARD_PHRASES))).otherwise(none))
+    return F.array_join(F.concat(F.array(q), F.slice(F.array_distinct(F.concat(*hits)), 1, most)), ". ")
+
+
+def resolved_years(questions: DataFrame) -> DataFrame:
+    """questions with resolved and explicit years: a given year, else a given span, else what the question says. Columns year, year_from and year_to may be missing."""
+    for c in ("year", "year_from", "year_to"):
+        if c not in questions.columns:
+            questions = questions.withColumn(c, F.lit(None).cast("int"))
+    said = questions.withColumn("_said", year_intents("query"))
+    given = F.when(F.col("year").isNotNull(), F.array(F.col("year").cast("int"))).when(F.col("year_from").isNotNull() & F.col("year_to").isNotNull(), F.sequence(F.least("year_from", "year_to").cast("int"), F.greatest("year_from", "year_to").cast("int")))
+    return said.withColumn("resolved", F.coalesce(given, F.col("_said.resolved"))).withColumn("explicit", F.coalesce(given, F.col("_said.explicit"))).drop("_said", "year", "year_from", "year_to")
+
+
+def _in_years_and_role(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
+    """Which items are of the years and the speaker's role that a question asks for; roles count in calls only."""
+    items = i["year"].to_numpy(np.float64, na_value=np.nan)
+    years = np.array([np.isin(items, list(y)) if y is not None and len(y) else np.ones(len(items), bool) for y in q["resolved"]])
+    role, roles = i["speaker_role"].to_numpy(object), q["speaker_role"].to_numpy(object)
+    calls = (q["channel"] == "concall").to_numpy()
+    same = np.array([role == r if call and r is not None and r == r else np.ones(len(items), bool) for r, call in zip(roles, calls)])
+    return years & same
+
+
+def retrieve(questions: DataFrame, points: DataFrame, embedder: Callable[[Column], Column] = embed, k_annual: int = TOP_ANNUAL, k_call: int = TOP_CALL, least: int = MIN_RESULTS, **blocks: int) -> DataFrame:
+    """The candidates of many questions, scored and ranked.
+
+    questions: query_id, query, doc_type (annual_report, concall or anything else for both), symbol (NULL
+    for all companies), and optionally year, year_from, year_to, speaker_role. points: item_id, text,
+    vector, doc_type, symbol, year, speaker_role. Returns query_id, doc_type, item_id, vector_score, bm25,
+    score, rank, widened, resolved and explicit years.
+
+    A question is expanded, embedded and meets the points of its company in its years. A report channel
+    with fewer than `least` of them is searched again in all years; a call channel without any is
+    searched again by company alone, in all years and roles. BM25 runs over a question's own candidates,
+    both scores are fused, reports gain by recency and calls lose by speaker. Questions and points
+    without text, vector or id have no part.
+    """
+    if "speaker_role" not in questions.columns:
+        questions = questions.withColumn("speaker_role", F.lit(None).cast("string"))
+    channels = F.when(F.col("doc_type").isin("annual_report", "concall"), F.array("doc_type")).otherwise(F.array(F.lit("annual_report"), F.lit("concall")))
+    q = resolved_years(questions).withColumn("symbol", F.upper(F.trim("symbol"))).withColumn("expanded", expanded("query"))
+    q = q.withColumn("vector", embedder(F.col("expanded"))).withColumn("channel", F.explode(channels)).select("query_id", "channel", "symbol", "speaker_role", "resolved", "explicit", "expanded", "vector")
+    q = stored(q)  # read by both searches
+    p = points.select("item_id", F.col("doc_type").alias("channel"), F.upper(F.trim("symbol")).alias("symbol"), F.col("year").cast("int").alias("year"), "speaker_role", "vector")
+
+    def search(asked: DataFrame, allow) -> DataFrame:
+        own = ["query_id", "channel", "symbol", "vector", "resolved", "speaker_role"]
+        named = cosine_topk(asked.where("symbol is not null").select(*own), p, max(k_annual, k_call), keys=("channel", "symbol"), but_self=False, allow=allow, **blocks).drop("symbol")
+        free = cosine_topk(asked.where("symbol is null").select(*own).drop("symbol"), p.drop("symbol"), max(k_annual, k_call), keys=("channel",), but_self=False, allow=allow, **blocks)
+        return named.unionByName(free).where(F.col("rank") <= F.when(F.col("channel") == "concall", k_call).otherwise(k_annual)).withColumnRenamed("score", "vector_score").drop("rank")
+
+    first = stored(search(q, _in_years_and_role))
+    counts = first.groupBy("query_id", "channel").agg(F.count("*").alias("n"))
+    few = F.coalesce("n", F.lit(0)) < F.when(F.col("channel") == "concall", 1).otherwise(least)
+    marked = q.join(counts, ["query_id", "channel"], "left").withColumn("widened", few).drop("n")
+    again = search(marked.where("widened"), None)
+    kept = first.join(marked.where("widened").select("query_id", "channel"), ["query_id", "channel"], "left_anti")
+    found = kept.unionByName(again).join(marked.select("query_id", "channel", "widened", "resolved", "explicit", "expanded"), ["query_id", "channel"])
+    rid = F.concat_ws("|", F.col("query_id").cast("string"), "channel")
+    about = points.select("item_id", "text", "speaker_role", F.col("year").cast("int").alias("year"))
+    candidates = found.join(about, "item_id").select(F.col("query_id").alias("asked"), rid.alias("query_id"), F.col("item_id").alias("doc_id"), F.col("channel").alias("doc_type"), "vector_score", "text", "speaker_role", "year", "widened", "resolved", "explicit")
+    scored = fused(bm25_of_candidates(candidates, marked.select(rid.alias("query_id"), F.col("expanded").alias("query")))).withColumn("score", adjusted())
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).select(F.col("asked").alias("query_id"), "doc_type", F.col("doc_id").alias("item_id"), "vector_score", "bm25", "score", "rank", "widened", "resolved", "explicit")
+
+
+def questions_of_needs(needs: DataFrame, calls: tuple[str, ...]) -> DataFrame:
+    """Questions for `retrieve` from needs sought in text: query_id, metric, raw_text, need_type, sub_type, symbol, years.
+
+    The question is the metric's name and, unless it has it already, the original wording. Outlooks and
+    the kinds in `calls` are sought in calls, all others in reports.
+    """
+    raw = F.coalesce("raw_text", F.lit(""))
+    query = F.when((raw != "") & ~F.contains(F.lower("metric"), F.lower(raw)), F.concat("metric", F.lit(" "), raw)).otherwise(F.col("metric"))
+    where = F.when((F.col("need_type") == "forward_looking") | F.col("sub_type").isin(*calls), "concall").otherwise("annual_report")
+    return needs.select("query_id", query.alias("query"), where.alias("doc_type"), "symbol", F.array_min("years").alias("year_from"), F.array_max("years").alias("year_to"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.bridge import Atom
+from ledgerloom.operators.bridge import Atom, channel
 from ledgerloom.operators.catalog import KINDS, TEXT_KINDS
 
 CURRENT, LOOKBACK, FIRST = 2025, 3, 2010
@@ -50,24 +50,54 @@ def full_year(text: str) -> int | None:
     return n if 2000 <= n <= 2099 else None
 
 
+_COUNTS = {"two": 2, "three": 3, "four": 4, "five": 5, "ten": 10}
+_LAST = re.compile(r"\b(?:last|past|previous|recent)\s+(\d+|two|three|four|five|ten)\s+(?:fiscal\s+|financial\s+)?years?\b", re.I)
+_SPAN = re.compile(r"\bfy[\s-]*(\d{2,4})\s*(?:to|through|till|[-/–])\s*(?:fy[\s-]*)?(\d{2,4})\b", re.I)
+_PLAIN_SPAN = re.compile(r"\b(20\d{2})\s*(?:to|through|till|-|–)\s*(20\d{2})\b", re.I)
+_NAMED = re.compile(r"\bfy[\s-]*(\d{2,4})\b", re.I)
+_WORDED = re.compile(r"\b(?:financial\s+)?year\s+(20\d{2})\b", re.I)
+_BARE = re.compile(r"\b(20\d{2})\b")
+
+
 def year_intent(query: str) -> tuple[list[int], list[int]]:
-    """(years to search, years the question names). The first form that fits counts; without one the last three years are searched."""
+    """(years to search, years the question names). The first form that fits counts:
+
+    the last N years; a span of fiscal years; a span of plain years; several fiscal years, exactly those;
+    one; "financial year 2024" or "year 2024"; plain years up to the current one. Without any, the last
+    three years are searched and none is named.
+    """
     q = query or ""
     years = lambda a, b: list(range(min(a, b), max(a, b) + 1))
-    if m := re.search(r"\blast\s+(\d{1,2}|two|three|four|five|ten)\s+(?:fiscal\s+|financial\s+)?years?\b", q, re.I):
-        n = {"two": 2, "three": 3, "four": 4, "five": 5, "ten": 10}.get(m.group(1).lower()) or int(m.group(1))
+    if m := _LAST.search(q):
+        n = _COUNTS.get(m.group(1).lower()) or int(m.group(1))
         found = years(CURRENT - n + 1, CURRENT)
-        return found, found
-    if (m := re.search(r"\bFY\s?(\d{4}|\d{2})\s*(?:-|–|to|through|till)\s*(?:FY\s?)?(\d{4}|\d{2})\b", q, re.I)) and (a := full_year(m.group(1))) and (b := full_year(m.group(2))):
-        return years(a, b), years(a, b)
-    if m := re.search(r"\b(20\d{2})\s*(?:-|–|to|through|till)\s*(20\d{2})\b", q):
-        return years(int(m.group(1)), int(m.group(2))), years(int(m.group(1)), int(m.group(2)))
-    named = sorted({y for x in re.findall(r"\bFY\s?(\d{4}|\d{2})\b", q, re.I) if (y := full_year(x))})
-    if not named:
-        named = sorted({int(x) for x in re.findall(r"\bfinancial year\s+(20\d{2})\b", q, re.I)}) or sorted({int(x) for x in re.findall(r"\b(20\d{2})\b", q) if FIRST <= int(x) <= CURRENT})
-    if named:
-        return named, named
-    return years(CURRENT - LOOKBACK + 1, CURRENT), []
+    elif (m := _SPAN.search(q)) and (a := full_year(m.group(1))) and (b := full_year(m.group(2))):
+        found = years(a, b)
+    elif m := _PLAIN_SPAN.search(q):
+        found = years(int(m.group(1)), int(m.group(2)))
+    elif not (found := sorted({y for x in _NAMED.findall(q) if (y := full_year(x))})):
+        found = [int(m.group(1))] if (m := _WORDED.search(q)) else sorted({int(x) for x in _BARE.findall(q) if FIRST <= int(x) <= CURRENT})
+    return (found, found) if found else (years(CURRENT - LOOKBACK + 1, CURRENT), [])
+
+
+def named_years(query: str, compat: bool = False) -> list[int]:
+    """All years a question names, spans filled: the rules by which needs get their years.
+
+    compat reads spans as the reference does: only with a dash or one of the letters t and o between, and
+    "FY 2023-25" ends in the year after its first.
+    """
+    q, out = (query or "").upper(), set()
+    years = lambda a, b: range(a, b + 1)
+    for m in re.finditer(r"FY(\d{2,4})\s*[-–to]+\s*(?:FY)?(\d{2,4})" if compat else r"FY[\s-]*(\d{2,4})\s*(?:-|–|/|TO|THROUGH|TILL)\s*(?:FY[\s-]*)?(\d{2,4})", q):
+        if (a := full_year(m.group(1))) and (b := full_year(m.group(2))):
+            out.update(years(a, b))
+    for m in re.finditer(r"(?:FINANCIAL\s+YEAR|FY)\s*(\d{4})\s*[-–]\s*(\d{2,4})", q):
+        first, tail = int(m.group(1)), m.group(2)
+        last = first + 1 if compat and len(tail) == 2 else int(tail) if len(tail) == 4 else full_year(tail) or first
+        out.update(years(first, last))
+    out.update(y for x in re.findall(r"FY[\s-]*(\d{2,4})" if not compat else r"FY\s*(\d{2,4})", q) if (y := full_year(x)))
+    out.update(int(x) for x in _BARE.findall(q))
+    return sorted(out)
 
 
 def onward(query: str) -> str:
@@ -114,8 +144,25 @@ def decomposed(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(kinds_of("query")).alias("sub_type"), year_intents("query")["explicit"].alias("years"))
 
 
+def summary(atoms: list[Atom]) -> dict:
+    """What the needs of a question are about: counts by need, companies, years and channels."""
+    everyone = {s for a in atoms for s in ((a.symbol,) if a.symbol else a.symbols)}
+    return {"atoms": len(atoms), "needs": need_counts(atoms), "symbols": sorted(everyone), "years": sorted({y for a in atoms for y in a.years}), "channels": sorted({channel(a) for a in atoms})}
+
+
 def need_counts(atoms: list[Atom]) -> dict[str, int]:
     out: dict[str, int] = {}
     for a in atoms:
         out[a.need_type] = out.get(a.need_type, 0) + 1
     return out
+
+
+def need_histogram(questions: DataFrame) -> DataFrame:
+    """Need types over all questions: need_type, atoms, questions."""
+    needs = F.create_map(*(F.lit(x) for k, need, _ in RULES for x in (k, need)))
+    return decomposed(questions).withColumn("need_type", needs[F.col("sub_type")]).groupBy("need_type").agg(F.count("*").alias("atoms"), F.countDistinct("query_id").alias("questions"))
+
+
+def unfenced(text: str | Column) -> Column:
+    """A model's JSON without the Markdown fence around it."""
+    return F.trim(F.regexp_replace(F.trim(F.col(text) if isinstance(text, str) else text), r"^```(?:json)?\s*|\s*```$", ""))

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ratios as r
+from ledgerloom.session import stored
 from ledgerloom.sources import adapters as a
 
 
-def _latest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    price = r.latest_by(a.prices(spark, d), "symbol", ["date"], ["close", "market_cap"])
-    keys = r.latest_by(a.key_ratios(spark, d), "symbol", ["updated_at", "ordinal"], ["forward_eps"])
-    ttm = r.trailing_sum(a.profit_loss(spark, d, quarterly=True), "eps").select("symbol", "ttm_eps")
-    return price, keys, ttm
+def _quarters(spark: SparkSession, d: str) -> DataFrame:
+    """What all statements are rolled up from: small, and read several times."""
+    return stored(a.sales_by_quarter(spark, d))
+
+
+def _statements(q: DataFrame) -> tuple[DataFrame, ...]:
+    """Profit and loss, balance sheet, latest price, latest key ratios, trailing earnings."""
+    ttm = r.trailing_sum(a.profit_loss_of(q, quarterly=True), "eps").select("symbol", "ttm_eps")
+    return a.profit_loss_of(q), a.balance_sheet_of(q), *a.latest_of(q), ttm
 
 
 def fy_revenue_yoy(spark: SparkSession, d: str) -> DataFrame:
@@ -39,15 +44,15 @@ def ttm_last4_sum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valuation_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return r.valuation(a.profit_loss(spark, d), a.balance_sheet(spark, d), *_latest(spark, d))
+    return r.valuation(*_statements(_quarters(spark, d)))
 
 
 def profitability_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return r.profitability(a.profit_loss(spark, d), a.balance_sheet(spark, d))
+    return r.profitability(*_statements(_quarters(spark, d))[:2])
 
 
 def leverage_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return r.leverage(a.profit_loss(spark, d), a.balance_sheet(spark, d))
+    return r.leverage(*_statements(_quarters(spark, d))[:2])
 
 
 def growth_ratios(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +60,7 @@ def growth_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return r.all_ratios(a.profit_loss(spark, d), a.balance_sheet(spark, d), *_latest(spark, d))
+    return r.all_ratios(*_statements(_quarters(spark, d)))
 
 
 def default_year(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +77,17 @@ def available_years(spark: SparkSession, d: str) -> DataFrame:
     return years.orderBy(F.desc("fiscal_year"))
 
 
-_DEFS = (fy_revenue_yoy, latest_row_per_symbol, price_as_of, ttm_last4_sum, valuation_ratios, profitability_ratios, leverage_ratios, growth_ratios, all_ratios, default_year, ratio_snapshot_trend, available_years)
+def ratios_of_years(spark: SparkSession, d: str) -> DataFrame:
+    """Every company's margins in the years 1995 and 1997."""
+    return r.of_years(profitability_ratios(spark, d), (1995, 1997)).select("symbol", "fiscal_year", "revenue_cr", "pat_margin_pct")
+
+
+def derived_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Free cash flow, the ebitda proxy and compound growth over two years."""
+    return r.derived(a.profit_loss(spark, d).withColumn("cfo", F.col("ebitda")).withColumn("capex", F.col("interest")).withColumn("operating_profit", F.col("ebit")), span=2)
+
+
+_DEFS = (ratios_of_years, derived_metrics, fy_revenue_yoy, latest_row_per_symbol, price_as_of, ttm_last4_sum, valuation_ratios, profitability_ratios, leverage_ratios, growth_ratios, all_ratios, default_year, ratio_snapshot_trend, available_years)
 QUERIES = {f.__name__: f for f in _DEFS}
 
 _LATEST_SQL = """lp AS (SELECT symbol, arg_max(close, date) AS close, arg_max(market_cap, date) AS market_cap FROM prices GROUP BY symbol),
@@ -96,9 +111,12 @@ _BASE = f"WITH {a.SALES_SQL}, {a.PL_SQL}, {a.BS_SQL}"
 _FULL = f"{_BASE}, {a.PLQ_SQL}, {a.PRICES_SQL}, {a.KEYS_SQL}, {_LATEST_SQL}, {_VALUATION}, {_PROFIT}, {_LEVERAGE}, {_GROWTH}"
 
 ORACLE = {
+    "ratios_of_years": f"{_BASE}, {_PROFIT} SELECT symbol, fiscal_year, revenue_cr, pat_margin_pct FROM prof WHERE fiscal_year IN (1995, 1997)",
+    "derived_metrics": f"""{_BASE} SELECT p.symbol, p.fiscal_year, round(p.ebitda - p.interest, 2) AS fcf, round(p.ebit + p.depreciation, 2) AS ebitda_proxy,
+      CASE WHEN b.revenue > 0 AND p.revenue > 0 THEN round((pow(p.revenue / b.revenue, 0.5::DOUBLE) - 1) * 100, 2) END AS revenue_cagr_pct FROM pl p LEFT JOIN pl b ON p.symbol = b.symbol AND b.fiscal_year = p.fiscal_year - 2""",
     "fy_revenue_yoy": f"{_BASE}, {_GROWTH} SELECT symbol, fiscal_year, round(pl.revenue, 2) AS revenue, revenue_yoy_pct FROM pl JOIN gr USING (symbol, fiscal_year)",
     "latest_row_per_symbol": f"WITH {a.SALES_SQL}, {a.PRICES_SQL} SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM prices GROUP BY symbol",
-    "price_as_of": f"""WITH {a.SALES_SQL}, {a.PRICES_SQL}, ships AS (SELECT symbol, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS shipped FROM sales WHERE l_quantity >= 49)
+    "price_as_of": f"""WITH {a.SALES_SQL}, {a.PRICES_SQL}, ships AS (SELECT symbol, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS shipped FROM sales)
       SELECT s.symbol, l_orderkey, l_linenumber, shipped, p.close FROM ships s ASOF LEFT JOIN prices p ON s.symbol = p.symbol AND s.shipped >= p.date""",
     "ttm_last4_sum": f"WITH {a.SALES_SQL}, {a.PLQ_SQL} SELECT symbol, round(sum(eps), 2) AS ttm_eps, count(*) AS quarters FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fiscal_year DESC, quarter DESC) AS rn FROM plq) WHERE rn <= 4 GROUP BY symbol",
     "valuation_ratios": f"{_FULL} SELECT * FROM val", "profitability_ratios": f"{_BASE}, {_PROFIT} SELECT * FROM prof", "leverage_ratios": f"{_BASE}, {_LEVERAGE} SELECT * FROM lev", "growth_ratios": f"{_BASE}, {_GROWTH} SELECT * FROM gr",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
 import uuid
@@ -31,6 +32,28 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def logger(name: str) -> logging.Logger:
+    """A logger to standard error with time and level; asked for again, it is the same one. LEDGERLOOM_LOG sets the level."""
+    log = logging.getLogger(name)
+    if not log.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(os.environ.get("LEDGERLOOM_LOG", "INFO").upper())
+    return log
+
+
+def settings_from(path: str) -> dict[str, str]:
+    """Spark settings of a file of KEY=VALUE lines; comments, blank lines and outer quotes don't count, and the environment has the last word."""
+    found = {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            key, sign, value = line.strip().partition("=")
+            if sign and not key.startswith("#"):
+                found[key.strip()] = os.environ.get(key.strip(), value.strip().strip("\"'"))
+    return found
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which every executor reaches.
 

@@ -28,40 +28,51 @@ def sales_lines(spark: SparkSession, d: str) -> DataFrame:
     return l.join(o, "l_orderkey").join(s, "l_suppkey")
 
 
-def profit_loss(spark: SparkSession, d: str, quarterly: bool = False) -> DataFrame:
-    """symbol, fiscal_year (, quarter) and a year's or quarter's revenue, ebitda, depreciation, ebit, interest, pbt, tax, pat, eps."""
+def sales_by_quarter(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of each company's fiscal quarter, its last price and its last line: one scan and one shuffle, from which all statements are rolled up.
+
+    Sums are decimals, so they may be summed again. last_price packs the day and the highest price of it
+    in hundredths into one number, last_line the day and the line, so that both are plain maxima.
+    """
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    keys = ["symbol", "fiscal_year", *(["quarter"] if quarterly else [])]
-    sums = (
-        sales_lines(spark, d).withColumn("fiscal_year", fiscal_year("o_orderdate")).withColumn("quarter", fiscal_quarter("o_orderdate")).groupBy(*keys)
-        .agg(
-            _cents(F.sum(net.cast(_D))).alias("revenue"), _cents(F.sum((F.col("l_extendedprice") * F.col("l_discount")).cast(_D))).alias("depreciation"),
-            _cents(F.sum((net * F.col("l_tax")).cast(_D))).alias("tax"), _cents(F.sum(F.col("l_quantity").cast(_D))).alias("interest"),
-        )
+    line = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    order = F.unix_date(F.col("l_shipdate").cast("date")) * F.lit(10**13) + line
+    return sales_lines(spark, d).groupBy("symbol", fiscal_year("o_orderdate").alias("fiscal_year"), fiscal_quarter("o_orderdate").alias("quarter")).agg(
+        F.sum(net.cast(_D)).alias("net"), F.sum((F.col("l_extendedprice") * F.col("l_discount")).cast(_D)).alias("rebate"), F.sum((net * F.col("l_tax")).cast(_D)).alias("taxed"), F.sum(F.col("l_quantity").cast(_D)).alias("quantity"),
+        F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(0).cast(_D)).alias("open"), F.sum((F.col("l_quantity") * 10).cast(_D)).alias("tenfold"), F.sum(F.col("l_extendedprice").cast(_D)).alias("gross"), F.max("s_acctbal").alias("acctbal"),
+        F.max(F.unix_date(F.col("o_orderdate").cast("date")) * F.lit(10**11) + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("last_price"), F.max(order).alias("last_line"), F.max_by(F.col("l_extendedprice") / 1000, order).alias("last_eps"),
     )
+
+
+def profit_loss_of(quarters: DataFrame, quarterly: bool = False) -> DataFrame:
+    """symbol, fiscal_year (, quarter) and a year's or quarter's revenue, ebitda, depreciation, ebit, interest, pbt, tax, pat, eps."""
+    keys = ["symbol", "fiscal_year", *(["quarter"] if quarterly else [])]
+    sums = quarters.groupBy(*keys).agg(_cents(F.sum("net")).alias("revenue"), _cents(F.sum("rebate")).alias("depreciation"), _cents(F.sum("taxed")).alias("tax"), _cents(F.sum("quantity")).alias("interest"))
     with_ebitda = sums.withColumn("ebitda", F.col("revenue") - F.col("interest") * 500).withColumn("ebit", F.col("ebitda") - F.col("depreciation")).withColumn("pbt", F.col("ebit") - F.col("interest")).withColumn("pat", F.col("pbt") - F.col("tax"))
     return with_ebitda.withColumn("eps", F.col("pat") / 10000)
 
 
-def balance_sheet(spark: SparkSession, d: str) -> DataFrame:
+def profit_loss(spark: SparkSession, d: str, quarterly: bool = False) -> DataFrame:
+    return profit_loss_of(sales_by_quarter(spark, d), quarterly)
+
+
+def balance_sheet_of(quarters: DataFrame) -> DataFrame:
     """symbol, fiscal_year, total_debt, cash, equity, total_assets, book_value."""
-    sums = sales_lines(spark, d).groupBy("symbol", fiscal_year("o_orderdate").alias("fiscal_year")).agg(
-        _cents(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(0).cast(_D))).alias("total_debt"),
-        _cents(F.sum((F.col("l_quantity") * 10).cast(_D))).alias("cash"), F.max("s_acctbal").alias("acctbal"), _cents(F.sum(F.col("l_extendedprice").cast(_D))).alias("gross"),
-    )
+    sums = quarters.groupBy("symbol", "fiscal_year").agg(_cents(F.sum("open")).alias("total_debt"), _cents(F.sum("tenfold")).alias("cash"), F.max("acctbal").alias("acctbal"), _cents(F.sum("gross")).alias("gross"))
     return sums.withColumn("equity", F.col("acctbal") + F.col("gross") / 2).withColumn("total_assets", F.col("equity") + F.col("total_debt")).withColumn("book_value", F.col("equity") / 1000).select("symbol", "fiscal_year", "total_debt", "cash", "equity", "total_assets", "book_value")
 
 
+def latest_of(quarters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol, close, market_cap: the last price), (symbol, forward_eps: of the last line)."""
+    price = quarters.groupBy("symbol").agg((F.pmod(F.max("last_price"), F.lit(10**11)) / 100 / 100).alias("close")).withColumn("market_cap", F.col("close") * 1000)
+    return price, quarters.groupBy("symbol").agg(F.max_by("last_eps", "last_line").alias("forward_eps"))
+
+
 def prices(spark: SparkSession, d: str) -> DataFrame:
     """symbol, date, close, market_cap: the highest line price of a day."""
     return sales_lines(spark, d).groupBy("symbol", F.col("o_orderdate").cast("date").alias("date")).agg((F.max("l_extendedprice") / 100).alias("close")).withColumn("market_cap", F.col("close") * 1000)
 
 
-def key_ratios(spark: SparkSession, d: str) -> DataFrame:
-    """symbol, forward_eps, updated_at and a unique ordinal."""
-    return sales_lines(spark, d).select("symbol", (F.col("l_extendedprice") / 1000).alias("forward_eps"), F.col("l_shipdate").alias("updated_at"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal"))
-
-
 # The same tables for the oracle.
 SALES_SQL = """sales AS (SELECT l.*, o.o_orderdate, o.o_orderstatus, o.o_totalprice, s.s_name AS symbol, s.s_acctbal,
   CAST(year(o.o_orderdate + INTERVAL 9 MONTH) AS INTEGER) AS fiscal_year, CAST(quarter(o.o_orderdate + INTERVAL 9 MONTH) AS INTEGER) AS quarter

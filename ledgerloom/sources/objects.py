@@ -5,12 +5,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ledger import parse_key
+from ledgerloom.operators.chunking import split_turns
+from ledgerloom.operators.ledger import parse_key, swap, upsert_latest
 
 MOST_BYTES = 100 * 1024 * 1024
 
@@ -33,7 +35,36 @@ def text_blocks(content: bytes) -> list[tuple[str, str]]:
     return [("table" if " | " in b else "section_header" if b.isupper() and len(b) < 80 else "prose", b) for b in blocks]
 
 
-def extract(spark: SparkSession, root: str, pattern: str = "*", parser: Callable[[bytes], list[tuple[str, str]]] = text_blocks) -> DataFrame:
+Parser = Callable[[bytes], list[tuple[str, str]]]
+
+
+def call_blocks(content: bytes) -> list[tuple[str, str]]:
+    """(block_type, text) of a call's transcript: each paragraph that begins with a speaker's label is a turn."""
+    out = []
+    for kind, text in text_blocks(content):
+        parts = split_turns(text) if kind != "table" else []
+        out += [("speaker_turn", f"{who}: {said}") if who else ("prose", said) for who, said in parts] or [(kind, text)]
+    return out
+
+
+#: The parser of each type of document; others are an error of their file.
+PARSERS: dict[str, Parser] = {"annual_report": text_blocks, "concall": call_blocks}
+
+
+def extract_typed(spark: SparkSession, root: str, pattern: str = "*", parsers: dict[str, Parser] = PARSERS) -> DataFrame:
+    """Blocks of the files under root, each parsed by its document type, which is the folder right under root: path, doc_type, block_index, block_type, text, error."""
+    typed = {kind: extract(spark, f"{root}/{kind}", pattern, parser).withColumn("doc_type", F.lit(kind)) for kind, parser in parsers.items() if folder_exists(spark, f"{root}/{kind}")}
+    if not typed:
+        return spark.createDataFrame([], "path string, doc_type string, block_index int, block_type string, text string, error string")
+    return reduce(DataFrame.unionByName, typed.values()).select("path", "doc_type", "block_index", "block_type", "text", "error")
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def extract(spark: SparkSession, root: str, pattern: str = "*", parser: Parser = text_blocks) -> DataFrame:
     """Blocks of every file: path, block_index, block_type, text, error. A file that is too large or fails gives one row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length", F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("content"))
 
@@ -77,3 +108,17 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
 def save_points(df: DataFrame, path: str) -> None:
     """Points partitioned by document type, so that a search of one type reads one folder."""
     df.write.mode("overwrite").partitionBy("doc_type").parquet(path)
+
+
+def scalar(df: DataFrame) -> float | None:
+    """The first value of a result as a number; None where there is none or it is no number."""
+    first = df.select(F.col(df.columns[0]).cast("string").try_cast("double")).first()
+    return first[0] if first else None
+
+
+def load_points(chunks: DataFrame, path: str, embedder, key: str = "chunk_id", version: str = "loaded_at") -> None:
+    """Embeds chunks and folds them into the stored points by key, the last version of each winning; the store is made if it is missing."""
+    spark = chunks.sparkSession
+    new = chunks.withColumn("vector", embedder("text"))
+    old = spark.read.parquet(path) if folder_exists(spark, path) else new.limit(0)
+    swap(upsert_latest(old.select(*new.columns), new, key, [version]), path)
