@@ -110,9 +110,15 @@ def normal(text: str) -> str:
     return _SPACE.sub(" ", text.replace("’", "'").replace("‘", "'").replace("`", "'")).strip().lower()
 
 
+_PLAIN = {ord(c): "'" for c in "’‘`"} | {ord(c): " " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"} | dict.fromkeys(range(0x2000, 0x200B), " ")
+
+
 def flat(text: str) -> str:
     """A sentence as the trie reads it, with every character in its place."""
-    return "".join(" " if c.isspace() else "'" if c in "’‘`" else low if len(low := c.lower()) == 1 else c for c in text)
+    low = text.translate(_PLAIN).lower()
+    if len(low) == len(text):
+        return low
+    return "".join(low if len(low := c.lower()) == 1 else c for c in text.translate(_PLAIN))
 
 
 def _matches(text: str, at: int) -> list[tuple[int, Lexeme]]:

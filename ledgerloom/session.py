@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import logging
 import os
 import tempfile
@@ -99,9 +100,14 @@ def _own_folder(spark: SparkSession) -> str:
 def release(spark: SparkSession) -> None:
     """Deletes the application's stored tables; results that read them must have been written before."""
     context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/stored-{context.applicationId}")
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone already
+        if context._jsc is None or context._jsc.sc().isStopped():
+            return
+        _delete(context)
+
+
+def _delete(context) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir().rstrip('/')}/stored-{context.applicationId}")
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
