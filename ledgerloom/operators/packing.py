@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
 STRETCH = 4096
 
 
@@ -69,8 +71,7 @@ def packs(blocks: DataFrame, rule: Late | Early, stretch: int = STRETCH) -> Data
     """
     doc_type = blocks.schema["doc_id"].dataType.simpleString()
     own = blocks.select("doc_id", "block_index", F.coalesce("size", F.lit(0)).cast("int").alias("size"), F.coalesce("boundary", F.lit(False)).alias("boundary"), F.coalesce("flush", F.lit(False)).alias("flush"))
-    own = own.where((F.col("size") > 0) | F.col("boundary")).withColumn("stretch", F.expr(f"block_index div {stretch}"))
-    placed = own.repartition("doc_id", "stretch").sortWithinPartitions("doc_id", "stretch", "block_index")
+    own = stored(own.where((F.col("size") > 0) | F.col("boundary")).withColumn("stretch", F.expr(f"block_index div {stretch}")))  # sizes only, read for every step
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -116,7 +117,7 @@ def packs(blocks: DataFrame, rule: Late | Early, stretch: int = STRETCH) -> Data
         yield from _frames(rows(), ["doc_id", "block_index", "pack"])
 
     last = own.groupBy("doc_id").agg(F.max("stretch").alias("last"))
-    split = placed.join(last.where("last > 0"), "doc_id", "left_semi")  # a document of one stretch starts with nothing
+    split = own.join(last.where("last > 0"), "doc_id", "left_semi")  # a document of one stretch starts with nothing
     chain = (
         split.repartition("doc_id", "stretch").sortWithinPartitions("doc_id", "stretch", "block_index").mapInPandas(ends, f"doc_id {doc_type}, stretch bigint, held array<int>, starts array<bigint>")
         .repartition("doc_id").sortWithinPartitions("doc_id", "stretch").mapInPandas(chained, f"doc_id {doc_type}, stretch bigint, held_in int, start_in bigint")
