@@ -163,32 +163,42 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return drawn, report
 
 
-def _entropies(logs: DataFrame, exponents: list[float]) -> list[float]:
-    """The entropy of tempered shares at each exponent, from one aggregate over the sources' log shares (column l, at most 0)."""
+def _at_exponents(logs: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """(entropy of tempered shares, largest share by natural share) at each exponent, from one aggregate over the sources' log shares (column l, at most 0, relative to the largest source)."""
     at = logs.select("l", F.explode(F.array(*map(F.lit, exponents))).alias("x")).withColumn("v", F.exp(F.col("x") * F.col("l")))
-    sums = at.groupBy("x").agg(F.sum("v").alias("z"), F.sum(F.col("v") * F.col("l")).alias("m")).collect()  # one row per exponent
-    found = {r.x: math.log(r.z) - r.x * r.m / r.z for r in sums}
+    sums = at.groupBy("x").agg(F.sum("v").alias("z"), F.sum(F.col("v") * F.col("l")).alias("m"), F.max(F.exp((F.col("x") - 1) * F.col("l"))).alias("r")).collect()  # one row per exponent
+    found = {r.x: (math.log(r.z) - r.x * r.m / r.z, r.r / r.z) for r in sums}
     return [found[x] for x in exponents]
 
 
-def tempered_shares(documents: DataFrame, keep_entropy: float = 0.9, folder: str = TOKENIZERS, sections: int = 128, passes: int = 5) -> DataFrame:
+def tempered_shares(documents: DataFrame, keep_entropy: float = 0.9, folder: str = TOKENIZERS, total_tokens: int | None = None, max_repeats: float | None = None, sections: int = 128, passes: int = 5) -> DataFrame:
     """Every source's natural token share and its share tempered to `keep_entropy` of the largest entropy.
 
-    Columns: source, tokens, natural_share, tempered_share. The exponent is sought in [0, 8] by
-    splitting its interval into `sections` in each of `passes` aggregates over the sources, so nothing
-    that grows with the number of sources comes to the driver.
+    Columns: source, tokens, natural_share, tempered_share. With `total_tokens` (of the mix) and
+    `max_repeats`, the exponent is raised, at most to the natural shares, until no source has to be used
+    more often than that. The exponent is sought in [0, 8] by splitting its interval into `sections` in
+    each of `passes` aggregates over the sources, so nothing that grows with the number of sources comes
+    to the driver.
     """
     per = stored(measured(documents, folder).groupBy("source").agg(F.sum("tokens").alias("tokens")))
     whole = per.agg(F.sum("tokens").alias("total"), F.max("tokens").alias("most"), F.count("*").alias("n")).first()
     total, most = whole.total or 1, whole.most or 1
-    low, high = 0.0, 8.0
     logs = per.select(F.log(F.col("tokens") / F.lit(most)).alias("l"))
-    for _ in range(passes if whole.n > 1 else 0):
-        edges = [low + (high - low) * k / sections for k in range(sections + 1)]
-        above = [k for k, h in enumerate(_entropies(logs, edges)) if h > keep_entropy * math.log(whole.n)]  # entropy falls as the exponent grows
-        at = min(max(above, default=0), sections - 1)
-        low, high = edges[at], edges[at + 1]
-    exponent = (low + high) / 2
+
+    def least(high: float, short) -> float:
+        """The exponent up to `high` at which `short` of (entropy, largest ratio) ends to hold."""
+        low = 0.0
+        for _ in range(passes if whole.n > 1 else 0):
+            edges = [low + (high - low) * k / sections for k in range(sections + 1)]
+            below = [k for k, found in enumerate(_at_exponents(logs, edges)) if short(*found)]
+            at = min(max(below, default=0), sections - 1)
+            low, high = edges[at], edges[at + 1]
+        return (low + high) / 2
+
+    exponent = least(8.0, lambda entropy, _: entropy > keep_entropy * math.log(whole.n))  # entropy falls as the exponent grows
+    if total_tokens and max_repeats:
+        # A source's uses are its share of the mix by its tokens: total_tokens / total * tempered / natural share; the natural share of l is exp(l) * most / total.
+        exponent = max(exponent, least(1.0, lambda _, ratio: total_tokens * ratio / most > max_repeats))
     power = F.exp(F.lit(exponent) * F.log(F.col("tokens") / F.lit(most)))
     norm = per.agg(F.sum(power)).first()[0] or 1.0
     return per.select("source", F.col("tokens").cast("bigint").alias("tokens"), (F.col("tokens") / F.lit(total)).alias("natural_share"), (power / F.lit(norm)).alias("tempered_share"))

@@ -60,3 +60,17 @@ def test_tempered_shares(spark):
     want = m.temper(natural, m.exponent_for_entropy(natural, 0.9 * math.log(5)))
     assert all(hot[k] == pytest.approx(want[k], abs=1e-6) for k in want)
     assert m.tempered_shares(docs.limit(0)).count() == 0 and [r.tempered_share for r in m.tempered_shares(docs.limit(1)).collect()] == [1.0]
+
+
+def test_tempered_shares_keep_repetition_limits(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(n)), f"s{n}") for i, n in enumerate((400, 90, 30, 7, 2))], "doc_id bigint, text string, source string")
+    tokens = {r.source: r.tokens for r in m.tempered_shares(docs).collect()}
+    budget = 2 * sum(tokens.values())
+    for limit in (3.0, 10.0):
+        got = m.tempered_shares(docs, keep_entropy=0.99, total_tokens=budget, max_repeats=limit).collect()
+        uses = {r.source: budget * r.tempered_share / r.tokens for r in got}
+        assert max(uses.values()) <= limit * 1.0001 and max(uses.values()) > 0.98 * limit and sum(r.tempered_share for r in got) == pytest.approx(1)
+    loose = m.tempered_shares(docs, keep_entropy=0.9, total_tokens=budget, max_repeats=1e9).collect()
+    assert {r.source: r.tempered_share for r in loose} == pytest.approx({r.source: r.tempered_share for r in m.tempered_shares(docs, keep_entropy=0.9).collect()})
+    natural = m.tempered_shares(docs, keep_entropy=0.99, total_tokens=budget, max_repeats=0.1).collect()
+    assert all(r.tempered_share == pytest.approx(r.natural_share, rel=1e-6) for r in natural)
