@@ -54,7 +54,13 @@ FILLERS = (
 #: The dimension of each common unit, and what one common unit is worth in the dimension's base.
 COMMON = {"crore": ("money", 1e7), "rs": ("money", 1.0), "%": ("ratio", 0.01), "x": ("ratio", 1.0), "days": ("time", 1.0)}
 
-LEXEME_COST, FILLER_COST, UNKNOWN_COST, OFF_DIMENSION_COST, GAIN = 1.0, 0.6, 4.0, 2.5, 2.0
+LEXEME_COST, FILLER_COST, UNKNOWN_COST, GAIN = 1.0, 0.6, 4.0, 2.0
+#: How much less likely a kind of lexeme is in a field of each dimension, as what it costs beyond one that fits.
+PRIORS = {
+    "money": {"money": 0.0, "scale": 0.0, "exponent": 0.0, "ratio": 2.5, "time": 2.5},
+    "ratio": {"ratio": 0.0, "exponent": 2.5, "scale": 2.5, "money": 2.5, "time": 2.5},
+    "time": {"time": 0.0, "exponent": 2.5, "scale": 2.5, "money": 2.5, "ratio": 2.5},
+}
 
 
 class Lexeme(NamedTuple):
@@ -138,10 +144,7 @@ def _matches(text: str, at: int) -> list[tuple[int, Lexeme]]:
 
 
 def _cost(lexeme: Lexeme, dimension: str) -> float:
-    if lexeme.kind == "filler":
-        return FILLER_COST
-    fits = lexeme.kind == dimension or (dimension == "money" and lexeme.kind in ("scale", "exponent"))
-    return LEXEME_COST if fits else LEXEME_COST + OFF_DIMENSION_COST
+    return FILLER_COST if lexeme.kind == "filler" else LEXEME_COST + PRIORS[dimension][lexeme.kind]
 
 
 def segment(text: str, dimension: str, at: int = 0, open_end: bool = False) -> tuple[list[Lexeme], int]:

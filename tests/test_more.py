@@ -189,3 +189,11 @@ def test_stored_tables(spark):
     rows = spark.createDataFrame([(1, "t" * 35, 0.5), (2, "t" * 70, 0.4), (3, None, 0.3)], "id int, text string, score double").withColumn("q", F.lit(1)).where("text is not null")
     assert [r.used for r in cache.within_tokens(rows, 150, "q", [F.desc("score")]).orderBy("place").collect()] == [70, 150] and cache.within_tokens(rows, 0, "q", ["id"]).count() == 2
     assert json.loads(cache.stats(spark.createDataFrame([("abc",)], "response string"), 5, 0.5).toJSON().first()) == {"entries": 1, "bytes": 3, "ttl": 5, "threshold": 0.5}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as Stub
+
+    context = Stub(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Stub(sparkContext=context))
