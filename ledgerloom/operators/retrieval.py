@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,20 +50,25 @@ FORWARD_HINTS = ("outlook", "h1", "h2", "next", "expect", "guidance", "demand en
 FORWARD_PHRASES = ("outlook", "expect", "anticipate", "guidance", "target")
 
 
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """The row of each value of an array of lists."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+
+
 def embed(text: str | Column, size: int = 768) -> Column:
     """A deterministic stand-in for a text encoder: hashed term frequencies of unit length. NULL for texts without tokens."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def hashed(found: pd.Series) -> pd.Series:
-        out = []
-        for words in found:
-            v = np.zeros(size, np.float32)
-            for w in words if words is not None else ():
-                h = zlib.crc32(w.encode())
-                v[h % size] += 1.0 if h & 0x80000000 else -1.0
-            n = float(np.linalg.norm(v))
-            out.append((v / n).tolist() if n else None)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def hashed(found: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(found.slice(at, 1000)) for at in range(0, max(1, len(found)), 1000)])
+
+    def some(found: pa.Array) -> pa.Array:
+        words, row = found.flatten().dictionary_encode(), _rows_of(found)
+        h = np.fromiter((zlib.crc32(w.encode()) for w in words.dictionary.to_pylist()), np.uint32, len(words.dictionary))[words.indices.to_numpy(zero_copy_only=False)]
+        v = np.bincount(row * size + h % np.uint32(size), np.where(h & np.uint32(0x80000000), 1.0, -1.0), len(found) * size).astype(np.float32).reshape(-1, size)
+        n = np.sqrt((v * v).sum(axis=1))
+        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, size, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((v[n > 0] / n[n > 0, None]).ravel(), pa.float32()), mask=pa.array(n == 0))
 
     return hashed(tokens(F.col(text) if isinstance(text, str) else text))
 
@@ -219,14 +226,112 @@ def resolved_years(questions: DataFrame) -> DataFrame:
     return said.withColumn("resolved", F.coalesce(given, F.col("_said.resolved"))).withColumn("explicit", F.coalesce(given, F.col("_said.explicit"))).drop("_said", "year", "year_from", "year_to")
 
 
-def _in_years_and_role(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-    """Which items are of the years and the speaker's role that a question asks for; roles count in calls only."""
-    items = i["year"].to_numpy(np.float64, na_value=np.nan)
-    years = np.array([np.isin(items, list(y)) if y is not None and len(y) else np.ones(len(items), bool) for y in q["resolved"]])
-    role, roles = i["speaker_role"].to_numpy(object), q["speaker_role"].to_numpy(object)
-    calls = (q["channel"] == "concall").to_numpy()
-    same = np.array([role == r if call and r is not None and r == r else np.ones(len(items), bool) for r, call in zip(roles, calls)])
-    return years & same
+def _counted(vocabulary: list[str]) -> Callable[[Column], Column]:
+    """Of an array of tokens its length, and those of a sorted vocabulary (by place) with how often they occur."""
+
+    @F.arrow_udf(T.StructType([T.StructField("len", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))]))
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = pa.array(vocabulary, pa.string())
+        for found in batches:
+            at = pc.index_in(found.flatten(), value_set=words)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            key, tf = np.unique(_rows_of(found)[known] * max(1, len(words)) + at.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+            row, term = np.divmod(key, max(1, len(words)))
+            offsets = pa.array(np.searchsorted(row, np.arange(len(found) + 1)), pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (term, tf))
+            yield pa.StructArray.from_arrays([pc.list_value_length(found).fill_null(0), *lists], names=["len", "terms", "tf"])
+
+    return counts
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _bm25_of_lists(qn: pa.Array, lengths: pa.Array, tfs: pa.Array) -> pa.Array:
+    """BM25 of a question's candidates: how often the question has each of its terms, the candidates' lengths, and how often each has those terms."""
+
+    def some(qn: pa.Array, lengths: pa.Array, tfs: pa.Array) -> pa.Array:
+        n_terms, n_docs = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (qn, lengths))
+        ask, per_doc = _rows_of(lengths), tfs.flatten()
+        doc, tf = _rows_of(per_doc), per_doc.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        first = np.cumsum(n_terms) - n_terms  # of each ask's terms
+        own = n_terms[ask]
+        term = np.arange(len(tf)) - (np.cumsum(own) - own)[doc] + first[ask[doc]]
+        df = np.bincount(term, tf > 0, int(n_terms.sum()))
+        n = np.repeat(n_docs, n_terms)
+        weight = qn.flatten().to_numpy(zero_copy_only=False) * np.log((n - df + 0.5) / (df + 0.5) + 1)
+        length = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        mean = np.bincount(ask, length, len(n_docs)) / np.maximum(n_docs, 1)
+        norm = K1 * (1 - B + B * length / np.maximum(mean, 1e-300)[ask])
+        has = tf > 0
+        d, t = doc[has], tf[has]
+        score = np.bincount(d, weight[term[has]] * t * (K1 + 1) / (t + norm[d]), len(length))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_docs)]), pa.int32()), pa.array(score, pa.float64()))
+
+    return pa.concat_arrays([some(*(x.slice(at, 500) for x in (qn, lengths, tfs))) for at in range(0, max(1, len(qn)), 500)])
+
+
+_NEAR = "ask bigint, free boolean, k int, item_id bigint, vector_score double, year int, speaker_role string, len int, tf array<int>"
+
+
+def _near(asks: DataFrame, points: DataFrame, keys: tuple[str, ...], k_annual: int, k_call: int, least: int, item_block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """The nearest points of every ask in tiles of fixed size, those that meet its years and role and, where a tile has few of these, also those that don't (free).
+
+    A tile keeps the best of both per ask, so that no key, however hot, is one task. Asks of one text have
+    one product and one order. With its score a point brings how often it has each term of the ask.
+    """
+    many = points.groupBy(*keys).agg(F.ceil(F.count("*") / item_block).alias("_ni")).join(asks.groupBy(*keys).agg(F.ceil(F.count("*") / query_block).alias("_nq")), [*keys])
+    many = stored(many)  # of known size, so that vectors need no shuffle to meet it where it is small
+    place = lambda own, n: F.pmod(F.xxhash64(own), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    items = points.join(many, [*keys]).withColumn("_ib", place("item_id", "_ni")).withColumn("_qb", spread("_nq")).drop("_ni", "_nq")
+    asked = asks.where("vector is not null").join(many, [*keys]).withColumn("_qb", place("ask", "_nq")).withColumn("_ib", spread("_ni")).withColumn("whole", F.col("_ni") == 1).drop("_ni", "_nq")
+    asked = asked.select(*keys, *(["channel"] if "channel" not in keys else []), "_ib", "_qb", "ask", "whole", "expanded", "resolved", "role", "vector", "terms")
+
+    def tile(q: pa.Table, i: pa.Table) -> pa.Table:
+        parts: list[tuple] = []
+        if q.num_rows and i.num_rows:
+            i = i.sort_by("item_id").combine_chunks()
+            column = lambda t, name: t[name].combine_chunks()
+            unit = lambda rows: (m := rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            vectors, texts, terms = unit(column(i, "vector")), column(q, "expanded").dictionary_encode(), column(q, "terms")
+            year, role = column(i, "year").cast(pa.float64()).to_numpy(zero_copy_only=False), np.array(i["speaker_role"].to_pylist(), object)
+            item, term, tf = _rows_of(column(i, "terms")), column(i, "terms").flatten().to_numpy(zero_copy_only=False), column(i, "tf").flatten().to_numpy(zero_copy_only=False)
+            ask, whole, call = q["ask"].to_numpy(), q["whole"].to_pylist(), [c == "concall" for c in q["channel"].to_pylist()]
+            resolved, wanted = q["resolved"].to_pylist(), q["role"].to_pylist()
+            meets: dict[tuple, np.ndarray] = {}
+            code = texts.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                score = np.round(vectors @ unit(column(q, "vector").slice(group[0], 1))[0], 6)
+                best = np.argsort(-score, kind="stable")
+                own = np.array(terms[int(group[0])].as_py(), np.int64)
+                at = np.full(1 + max(own.max(initial=0), term.max(initial=0)), -1)
+                at[own] = np.arange(len(own))
+                known = at[term] >= 0
+                often = np.zeros((len(vectors), len(own)), np.int32)
+                often[item[known], at[term[known]]] = tf[known]
+                for a in group:
+                    asks_for = (tuple(resolved[a] or ()), wanted[a])
+                    if asks_for not in meets:
+                        meets[asks_for] = (np.isin(year, asks_for[0]) if asks_for[0] else np.ones(len(year), bool)) & (role == asks_for[1] if asks_for[1] is not None else True)
+                    k, enough = (k_call, 1) if call[a] else (k_annual, least)
+                    met = best[meets[asks_for][best]][:k]
+                    few = len(met) < enough
+                    for free, chosen in ((False, met if not (few and whole[a]) else met[:0]), (True, best[:k] if few else met[:0])):
+                        if len(chosen):
+                            parts.append((np.full(len(chosen), ask[a]), np.full(len(chosen), free), np.full(len(chosen), k, np.int32), chosen, score[chosen], often[chosen].ravel(), np.full(len(chosen), len(own))))
+        if not parts:
+            return _EMPTY_NEAR
+        asked, free, most, chosen, score, often, wide = (np.concatenate(x) for x in zip(*parts))
+        rows = pa.array(chosen)
+        columns = [pa.array(asked), pa.array(free), pa.array(most), column(i, "item_id").take(rows), pa.array(score), column(i, "year").take(rows), column(i, "speaker_role").take(rows), column(i, "len").take(rows)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(wide)]), pa.int32())
+        return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(often, pa.int32()))], names=_EMPTY_NEAR.column_names)
+
+    tiles = [*keys, "_ib", "_qb"]
+    return asked.groupBy(*tiles).cogroup(items.groupBy(*tiles)).applyInArrow(tile, _NEAR)
+
+
+_EMPTY_NEAR = pa.table({"ask": pa.array([], pa.int64()), "free": pa.array([], pa.bool_()), "k": pa.array([], pa.int32()), "item_id": pa.array([], pa.int64()), "vector_score": pa.array([], pa.float64()), "year": pa.array([], pa.int32()), "speaker_role": pa.array([], pa.string()), "len": pa.array([], pa.int32()), "tf": pa.array([], pa.list_(pa.int32()))})
 
 
 def retrieve(questions: DataFrame, points: DataFrame, embedder: Callable[[Column], Column] = embed, k_annual: int = TOP_ANNUAL, k_call: int = TOP_CALL, least: int = MIN_RESULTS, **blocks: int) -> DataFrame:
@@ -241,35 +346,49 @@ def retrieve(questions: DataFrame, points: DataFrame, embedder: Callable[[Column
     with fewer than `least` of them is searched again in all years; a call channel without any is
     searched again by company alone, in all years and roles. BM25 runs over a question's own candidates,
     both scores are fused, reports gain by recency and calls lose by speaker. Questions and points
-    without text, vector or id have no part.
+    without text, vector or id have no part; repeated questions count once.
+
+    What questions ask (their text, channel, company, years and role) is answered once, however many ask
+    it. Texts of points are read once, for their counts of the questions' words: those words come to the
+    driver, and no text is shuffled here or joined with candidates.
     """
-    if "speaker_role" not in questions.columns:
-        questions = questions.withColumn("speaker_role", F.lit(None).cast("string"))
+    for c, kind in (("speaker_role", "string"), ("year", "int"), ("year_from", "int"), ("year_to", "int")):
+        if c not in questions.columns:
+            questions = questions.withColumn(c, F.lit(None).cast(kind))
     channels = F.when(F.col("doc_type").isin("annual_report", "concall"), F.array("doc_type")).otherwise(F.array(F.lit("annual_report"), F.lit("concall")))
-    q = resolved_years(questions).withColumn("symbol", F.upper(F.trim("symbol"))).withColumn("expanded", expanded("query"))
-    q = q.withColumn("vector", embedder(F.col("expanded"))).withColumn("channel", F.explode(channels)).select("query_id", "channel", "symbol", "speaker_role", "resolved", "explicit", "expanded", "vector")
-    q = stored(q)  # read by both searches
-    p = points.select("item_id", F.col("doc_type").alias("channel"), F.upper(F.trim("symbol")).alias("symbol"), F.col("year").cast("int").alias("year"), "speaker_role", "vector")
-
-    def search(asked: DataFrame, allow) -> DataFrame:
-        own = ["query_id", "channel", "symbol", "vector", "resolved", "speaker_role"]
-        named = cosine_topk(asked.where("symbol is not null").select(*own), p, max(k_annual, k_call), keys=("channel", "symbol"), but_self=False, allow=allow, **blocks).drop("symbol")
-        free = cosine_topk(asked.where("symbol is null").select(*own).drop("symbol"), p.drop("symbol"), max(k_annual, k_call), keys=("channel",), but_self=False, allow=allow, **blocks)
-        return named.unionByName(free).where(F.col("rank") <= F.when(F.col("channel") == "concall", k_call).otherwise(k_annual)).withColumnRenamed("score", "vector_score").drop("rank")
-
-    first = stored(search(q, _in_years_and_role))
-    counts = first.groupBy("query_id", "channel").agg(F.count("*").alias("n"))
-    few = F.coalesce("n", F.lit(0)) < F.when(F.col("channel") == "concall", 1).otherwise(least)
-    marked = q.join(counts, ["query_id", "channel"], "left").withColumn("widened", few).drop("n")
-    again = search(marked.where("widened"), None)
-    kept = first.join(marked.where("widened").select("query_id", "channel"), ["query_id", "channel"], "left_anti")
-    found = kept.unionByName(again).join(marked.select("query_id", "channel", "widened", "resolved", "explicit", "expanded"), ["query_id", "channel"])
-    rid = F.concat_ws("|", F.col("query_id").cast("string"), "channel")
-    about = points.select("item_id", "text", "speaker_role", F.col("year").cast("int").alias("year"))
-    candidates = found.join(about, "item_id").select(F.col("query_id").alias("asked"), rid.alias("query_id"), F.col("item_id").alias("doc_id"), F.col("channel").alias("doc_type"), "vector_score", "text", "speaker_role", "year", "widened", "resolved", "explicit")
-    scored = fused(bm25_of_candidates(candidates, marked.select(rid.alias("query_id"), F.col("expanded").alias("query")))).withColumn("score", adjusted())
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).select(F.col("asked").alias("query_id"), "doc_type", F.col("doc_id").alias("item_id"), "vector_score", "bm25", "score", "rank", "widened", "resolved", "explicit")
+    raw = F.struct("query", channels.alias("channels"), F.upper(F.trim("symbol")).alias("symbol"), "speaker_role", "year", "year_from", "year_to")
+    asking = stored(questions.where("query_id is not null").select(F.col("query_id").cast("bigint").alias("query_id"), raw.alias("raw")).distinct())
+    q = resolved_years(asking.select("raw").distinct().select("raw", "raw.*")).withColumn("expanded", expanded("query")).withColumn("channel", F.explode("channels"))
+    role = F.when(F.col("channel") == "concall", F.col("speaker_role")).alias("role")  # roles count in calls only
+    q = stored(q.where("expanded is not null").select("raw", F.struct("channel", "symbol", role, "resolved", "explicit", "expanded").alias("what")))
+    asks = stored(q.select("what").distinct().select(F.monotonically_increasing_id().alias("ask"), "what"))
+    vocabulary = [r["w"] for r in asks.select(F.explode(tokens(F.col("what.expanded"))).alias("w")).distinct().orderBy("w").collect()]
+    counted = _counted(vocabulary)
+    full = asks.select("ask", "what.*", embedder(F.col("what.expanded")).alias("vector"), counted(tokens(F.col("what.expanded"))).alias("c")).select("*", "c.terms")
+    p = points.where("item_id is not null and vector is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("doc_type").alias("channel"), F.upper(F.trim("symbol")).alias("symbol"), F.col("year").cast("int").alias("year"), "speaker_role", "vector", counted(tokens(F.col("text"))).alias("c"))
+    p = stored(p.select("item_id", "channel", "symbol", "year", "speaker_role", "vector", "c.*"))  # as a vector store would hold them
+
+    near = _near(full.where("symbol is not null"), p, ("channel", "symbol"), k_annual, k_call, least, **blocks)
+    if not asks.where("what.symbol is null").isEmpty():
+        near = near.unionByName(_near(full.where("symbol is null"), p.drop("symbol"), ("channel",), k_annual, k_call, least, **blocks))
+    w = Window.partitionBy("ask", "free").orderBy(F.desc("vector_score"), "item_id")
+    best = near.repartition("ask").withColumn("place", F.row_number().over(w)).where("place <= k")
+    lists = best.groupBy("ask").agg(F.count_if(~F.col("free")).alias("n"), F.collect_list(F.struct("free", "item_id", "vector_score", "year", "speaker_role", "len", "tf")).alias("c"))
+    met = asks.select("ask", "what", counted(tokens(F.col("what.expanded")))["tf"].alias("qn")).join(lists, "ask")
+    met = met.withColumn("widened", F.col("n") < F.when(F.col("what.channel") == "concall", 1).otherwise(least))
+    met = met.withColumn("c", F.when(F.col("widened"), F.filter("c", lambda x: x.free)).otherwise(F.filter("c", lambda x: ~x.free)))
+    met = met.withColumn("bm25", _bm25_of_lists("qn", F.col("c.len"), F.col("c.tf")))
+    names = ("vector_score", "bm25")
+    lists = {"vector_score": F.col("c.vector_score"), "bm25": F.col("bm25")}
+    ranges = (F.round(f(lists[c]), 6).alias(f"_{end}_{c}") for c in names for end, f in (("low", F.array_min), ("high", F.array_max)))
+    rows = met.select("ask", "what", "widened", *ranges, F.explode(F.arrays_zip("c", "bm25")).alias("x"))
+    rows = rows.select("ask", "what", "widened", *(c for c in rows.columns if c[0] == "_"), "x.c.*", F.round("x.bm25", 6).alias("bm25"))
+    score = F.round(sum((scaled(F.col(c), F.col(f"_low_{c}"), F.col(f"_high_{c}")) for c in names), F.lit(0.0)) / 2, 6)
+    rows = rows.withColumn("score", score).withColumn("score", adjusted(doc_type="what.channel"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("last"), "item_id", "vector_score", "bm25", "score")))
+    answers = rows.groupBy("ask").agg(F.first("what").alias("what"), F.first("widened").alias("widened"), ranked.alias("c"))
+    found = asking.join(q, "raw").select("query_id", "what").join(answers, "what").select("query_id", "what", "widened", F.posexplode("c").alias("at", "x"))
+    return found.select("query_id", F.col("what.channel").alias("doc_type"), "x.item_id", "x.vector_score", "x.bm25", "x.score", (F.col("at") + 1).alias("rank"), "widened", "what.resolved", "what.explicit")
 
 
 def questions_of_needs(needs: DataFrame, calls: tuple[str, ...]) -> DataFrame:

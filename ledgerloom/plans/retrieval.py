@@ -11,7 +11,6 @@ from ledgerloom.operators import cache as ca
 from ledgerloom.operators import evaluate as ev
 from ledgerloom.operators import fusion as fu
 from ledgerloom.operators import retrieval as r
-from ledgerloom.session import stored
 from ledgerloom.sources import adapters as a
 from ledgerloom.sources.tables import table
 
@@ -85,7 +84,6 @@ def retrieval_dispatch(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "concall_claims").select("claim_id", "metric", "symbol", "year", "is_forward").distinct().where("metric is not null")
     questions = c.select(F.col("claim_id").alias("query_id"), F.concat("metric", F.when(F.col("is_forward"), F.lit(" guidance")).otherwise(F.lit(" last two years"))).alias("query"), F.element_at(F.array(*map(F.lit, ("annual_report", "concall", "both"))), (F.col("claim_id") % 3 + 1).cast("int")).alias("doc_type"), "symbol", F.when(F.col("claim_id") % 2 == 0, F.col("year")).alias("year"))
     points = table(spark, d, "chunks").where("text is not null").groupBy("chunk_id").agg(F.min(F.struct("text", "doc_type", "symbol", "year", "speaker_role")).alias("p")).select(F.xxhash64("chunk_id").alias("item_id"), "p.*").withColumn("vector", r.embed("text", 128))
-    points = stored(points)  # as a vector store would hold them
     found = r.retrieve(questions, points, lambda text: r.embed(text, 128))
     return found.select("query_id", "doc_type", "item_id", "vector_score", "bm25", "score", "rank", "widened")
 

@@ -68,6 +68,28 @@ def test_retrieval_dispatch(spark):
     assert asked == {1: ("Revenue", "annual_report", 2020, 2022), 2: ("Outlook capex plans", "concall", None, None), 3: ("Margin", "concall", 2021, 2021)}
 
 
+def test_retrieval_shuffles_no_texts(spark):
+    """Three hundred questions that ask the same: one answer, and texts aren't shuffled for each of them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "revenue growth " + " ".join(map(str, rng.integers(0, 1 << 60, 500))), [float(x) for x in rng.normal(size=4)], "annual_report", "abc", 2020, None) for i in range(40)]
+    pts = spark.createDataFrame(rows, "item_id bigint, text string, vector array<double>, doc_type string, symbol string, year int, speaker_role string")
+    questions = spark.range(300).selectExpr("id as query_id", "'revenue' as query", "'annual_report' as doc_type", "'ABC' as symbol", "2020 as year")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables too large for it
+    before = shuffled()
+    got = {}
+    for r in retrieval.retrieve(questions, pts, lambda text: F.when(text.isNotNull(), F.array(*map(F.lit, (1.0, 0.5, -0.2, 0.1)))), k_annual=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.item_id, r.vector_score, r.bm25, r.score))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled() - before < 2_000_000  # the texts of all candidates are 57 MB
+    assert len(got) == 300 and {tuple(sorted(v)) for v in got.values()} == {tuple(sorted(got[0]))} and [r[0] for r in sorted(got[0])] == [*range(1, 21)]
+
+
 def test_tiles_of_hot_keys_agree(spark):
     pts, _ = points(spark)
     e = pts.select(F.col("item_id").alias("entry_id"), F.lit("A").alias("symbol"), F.lit("b").alias("doc_type"), "vector", F.array("year").alias("years"))
