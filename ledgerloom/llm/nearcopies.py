@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,7 +15,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.session import stored
 
-_WORD = re.compile("[a-z0-9]+")
+# Fixed value: a-z and 0-9 stay, all other bytes part words.
+_APART = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -39,7 +39,7 @@ class Join(NamedTuple):
 class _Words(dict):
     """64-bit hashes of words; forgotten when there are too many to keep."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
@@ -48,23 +48,27 @@ class _Words(dict):
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
-    x = x * _A
+    x *= _A
     x ^= x >> np.uint64(29)
-    x = x * _B
-    return x ^ (x >> np.uint64(32))
+    x *= _B
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def shingles(text: str | None, words: int, hashes: _Words) -> np.ndarray:
     """The sorted set of hashed runs of `words` words of the whole text; empty if it has fewer."""
-    found = _WORD.findall(text.lower()) if text else ()
+    found = text.lower().encode("ascii", "replace").translate(_APART).split() if text else ()
     if len(found) < words:
         return np.empty(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in found), np.uint64, len(found))
+    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     n = len(h) - words + 1
-    run = h[:n] * _A
+    run, other = h[:n] * _A, h * _C
     for k in range(1, words):
-        run = _mix(run + np.uint64(k)) + h[k : n + k] * _C
-    return np.unique(_mix(run))
+        run = _mix(run + np.uint64(k))
+        run += other[k : n + k]
+    run = _mix(run)
+    run.sort()
+    return run[np.concatenate([[True], run[1:] != run[:-1]])]
 
 
 def _multipliers(join: Join) -> np.ndarray:
@@ -73,10 +77,10 @@ def _multipliers(join: Join) -> np.ndarray:
 
 def band_keys(found: np.ndarray, join: Join, multipliers: np.ndarray) -> np.ndarray:
     """One key per band, of the least of each of its rows' permutations of 32-bit hashes: equal shingles are least alike, so short hashes only add pairs to check."""
-    short = (found >> np.uint64(32)).astype(np.uint32)
+    short, each = (found >> np.uint64(32)).astype(np.uint32), multipliers[:, None]
     least = np.full(len(multipliers), np.uint32((1 << 32) - 1))
-    for at in range(0, len(short), 4096):
-        np.minimum(least, (short[None, at : at + 4096] * multipliers[:, None]).min(axis=1), out=least)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, (short[None, at : at + 1024] * each).min(axis=1), out=least)
     rows = least.astype(np.uint64).reshape(join.bands, join.rows)
     key = np.arange(join.bands, dtype=np.uint64) * _C
     for k in range(join.rows):

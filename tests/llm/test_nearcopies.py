@@ -62,6 +62,43 @@ def test_crowded_tiles_are_cut(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_shingles_are_those_of_the_pattern_at_less_cost():
+    """The same sets as by regular expression, array of a generator and np.unique, in under four fifths of the time."""
+    import re
+    import time
+
+    import numpy as np
+    import xxhash
+
+    word, known = re.compile("[a-z0-9]+"), {}
+
+    def plain(text):
+        found = word.findall(text.lower())
+        if len(found) < 3:
+            return np.empty(0, np.uint64)
+        h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in found), np.uint64, len(found))
+        run = h[:-2] * n._A
+        for k in (1, 2):
+            run = n._mix(run + np.uint64(k)) + h[k : len(h) - 2 + k] * n._C
+        return np.unique(n._mix(run))
+
+    rng = random.Random(9)
+    odd = ["", "a b", "a b c", "İstanbul \u212aelvin ſtraße x1 y2", "a\x00b\x1cc\u00a0d\u2028e_f-g.h", "\ud800 a b \udfff c", "٣ ४ ñandú 中文 one two", "A B C " * 9]
+    texts = [" ".join(rng.choice(WORDS) for _ in range(220)) + "\n\u20b9 12,345.6 Cr." for _ in range(300)]
+    words = n._Words()
+    for t in odd + texts:
+        assert (n.shingles(t, 3, words) == plain(t)).all() and len(n.shingles(t, 3, words)) == len(plain(t))
+
+    def seconds(f):
+        began = time.process_time()
+        for t in texts:
+            f(t)
+        return time.process_time() - began
+
+    own, other = (min(seconds(f) for _ in range(7)) for f in (lambda t: n.shingles(t, 3, words), plain))
+    assert own < 0.8 * other, (own, other)
+
+
 def test_empty(spark):
     found = n.near_copies(spark.createDataFrame([], "chunk_id string, text string"))
     assert n.pairs(found).count() == 0 == n.classes(found).count()
